@@ -16,7 +16,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emergent.llm import bpe
+
+    return bpe.encode(table(spark, sf_dir, "documents"), keep=False)
+
+
 QUERIES = {
+    "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLE: dict[str, str] = {}
