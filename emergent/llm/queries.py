@@ -22,7 +22,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), keep=False)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emergent.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs)).drop("mixture")
+
+
 QUERIES = {
+    "op9_language_id": op9_language_id,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
