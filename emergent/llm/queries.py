@@ -29,7 +29,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).drop("mixture")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emergent.llm import secrets
+
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op6_secret_scans": op6_secret_scans,
     "op9_language_id": op9_language_id,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
