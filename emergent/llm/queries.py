@@ -35,7 +35,14 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emergent.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_secret_scans": op6_secret_scans,
     "op9_language_id": op9_language_id,
     "op7_bpe": op7_bpe,
