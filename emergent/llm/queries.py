@@ -30,9 +30,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from emergent.llm import secrets
+    from emergent.llm import secret_scan
 
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emergent.llm import lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.digest(lines.strip(lines.insert(None, docs), docs))
+
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_secret_scans": op6_secret_scans,
     "op9_language_id": op9_language_id,
