@@ -48,7 +48,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.strip(lines.insert(None, docs), docs))
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emergent.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_secret_scans": op6_secret_scans,
