@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from math import ceil, comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +35,8 @@ from emergent.session import checkpointed, ship
 
 #: Values in a sketch; the chance to miss a link at exactly the threshold; members of a block of comparisons.
 K, MISS, BLOCK = 32, 1e-8, 128
+#: Pairs of sketches that are estimated at once.
+PAIRS = 16_384
 _PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -180,7 +181,8 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, needed: int
     """Candidate pairs (a, b) of lists that hold several components, estimated in blocks."""
     kind = classes.schema["cid"].dataType.simpleString()
     labelled = lists.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_lists = labelled.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+    whole = labelled.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"))
+    open_lists = whole.where("lo < hi").groupBy("m", "sum").agg(F.min("v").alias("v")).select("v")  # lists of the same members count once
     base = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
     banded = labelled.join(open_lists, "v").withColumn("band", F.explode(F.array(base, base + 1)))
     sizes = banded.groupBy("v", "band", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -194,22 +196,59 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, needed: int
     all_members = member.select("v", "band", "cid", "label", F.lit(False).alias("side"), every("r").alias("i"), chunk("m").alias("j"))
     rows = outside.unionByName(all_members).join(classes.select("cid", "sketch"), "cid")
 
-    def compared(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["side"]], frame[~frame["side"]]
-        found_a, found_b = [], []
-        if len(left) and len(right):
-            sketch = np.frombuffer(b"".join(right["sketch"]), np.uint64).reshape(-1, k)
-            ids, own = right["cid"].to_numpy(), right["label"].to_numpy()
-            for cid, label, raw in zip(left["cid"], left["label"], left["sketch"], strict=True):
-                some = np.flatnonzero(own != label)
-                if len(some):
-                    one = np.broadcast_to(np.frombuffer(raw, np.uint64), (len(some), k))
-                    for other in ids[some[_union_passes(one, sketch[some], needed, num, den)]]:
-                        found_a.append(min(cid, other))
-                        found_b.append(max(cid, other))
-        return pd.DataFrame({"a": found_a, "b": found_b}).drop_duplicates()
-
-    return rows.groupBy("v", "band", "i", "j").applyInPandas(compared, f"a {kind}, b {kind}").distinct()
+    keys = ["v", "band", "i", "j"]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of equal keys, at most two blocks of rows each, the outside members first; a run may span batches."""
+        held: list[pa.RecordBatch] = []
+        for batch in _then_none(batches):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if not held or (batch is not None and not batch.num_rows):
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key = np.column_stack([rows.column(k).to_numpy() for k in keys])
+            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            ends = np.append(start[1:], len(key))
+            if batch is not None:  # the last run may go on
+                held = [b for b in rows.slice(int(start[-1])).to_batches()]
+                start, ends = start[:-1], ends[:-1]
+                if not len(start):
+                    continue
+            else:
+                held = []
+            side = rows.column("side").to_numpy()
+            cid, label = rows.column("cid").to_numpy(), rows.column("label").to_numpy()
+            sketch = _sketch_rows(rows.column("sketch").combine_chunks(), k)
+            lefts = np.add.reduceat(side[: ends[-1]].astype(np.int64), start)
+            rights = ends - start - lefts
+            for low, high in _spans_of(lefts * rights, PAIRS):
+                left = np.concatenate([np.arange(a, a + n) for a, n in zip(start[low:high], lefts[low:high], strict=True)])
+                times = np.repeat(rights[low:high], lefts[low:high])
+                first = np.repeat(start[low:high] + lefts[low:high], lefts[low:high])
+                x = np.repeat(left, times)
+                y = np.repeat(first, times) + np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
+                other = label[x] != label[y]
+                x, y = x[other], y[other]
+                passed = _union_passes(sketch[x], sketch[y], needed, num, den) if len(x) else np.zeros(0, bool)
+                x, y = cid[x[passed]], cid[y[passed]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    sorted_rows = rows.select(*keys, "side", "cid", "label", "sketch").repartition(*keys).sortWithinPartitions(*keys, F.desc("side"))
+    return sorted_rows.mapInArrow(compared, f"a {kind}, b {kind}").distinct()
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _spans_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive spans of about ``most`` in sum."""
+    part = np.cumsum(sizes) // most
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(sizes))
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -225,7 +264,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     near_size = (F.col("n") * den >= F.col("head.n") * num) & (F.col("head.n") * den >= F.col("n") * num)
     pairs = stars.where(near_size).select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct()
     first = checkpointed(_verified(checkpointed(_estimated(pairs, classes, needed, num, den)), docs, words, num, den))
-    # Rows that share a doc_id but not a set are linked by that id.
     labels = components(first)
     more = checkpointed(_across(lists, labels, classes, needed, num, den))
     second = checkpointed(_verified(more, docs, words, num, den))
