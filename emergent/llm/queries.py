@@ -54,7 +54,30 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emergent.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emergent.llm import topk
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emergent.llm import pii
+
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op10_pii": op10_pii,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op5_toxicity": op5_toxicity,
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
