@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emergent.llm import learn
-from emergent.llm.blocks import WHITE, Block, blocks_of, chained, counts_between, mix
+from emergent.llm.blocks import Block, blocks_of, chained, counts_between, mix
 from emergent.session import ship
 
 WORD_DIMS, BYTE_DIMS = 1024, 2048
@@ -146,6 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> Model | None:
     return Model(w.astype(np.float32), b, *learn.fit_calibration(x[check] @ w + b, y[check]))
 
 
+def _judged(block: Block, model: Model | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The statistics, probability and base verdict of each text."""
+    stats = block_stats(block)
+    p = model.probability(block_features(block)) if model else np.ones(block.n)
+    return stats, p, (stats["n_words"] < MIN_WORDS) | (stats["n_repeat_words"] > MAX_REPEATED * stats["n_words"])
+
+
 def assess(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
     """doc_id, the exact statistics, probability, base_failed and kept, a row for each row of docs."""
     ship(docs.sparkSession)
@@ -154,12 +161,25 @@ def assess(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> Da
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks_of(batch.column("text")):
-                stats = block_stats(block)
-                p = model.probability(block_features(block)) if model else np.ones(block.n)
-                failed = (stats["n_words"] < MIN_WORDS) | (stats["n_repeat_words"] > MAX_REPEATED * stats["n_words"])
+                stats, p, failed = _judged(block, model)
                 columns = [batch.column("doc_id").slice(block.first, block.n), *(pa.array(stats[k], pa.int64()) for k in STAT_NAMES), pa.array(p.astype(float)), pa.array(failed), pa.array(~failed & (p >= keep_at))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "base_failed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{k} long" for k in STAT_NAMES) + ", probability double, base_failed boolean, kept boolean"
     return docs.select("doc_id", "text").mapInArrow(scored, schema)
+
+
+def keep(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs that pass, whole and with all their columns; nothing is shuffled or joined."""
+    ship(docs.sparkSession)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for block in blocks_of(batch.column("text")):
+                _, p, failed = _judged(block, model)
+                good[block.first : block.first + block.n] = ~failed & (p >= keep_at)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(passed, docs.schema)
