@@ -10,14 +10,14 @@ carried by ``redact`` and ignored by ``scan``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emergent.llm.automata import compile_patterns
@@ -162,12 +162,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>")
 
 
+def _is_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     """The counts of the base kinds, the SHA-256 of the base spans, and all spans as text."""
     base = [r.kind for r in BASE]
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     own = F.filter("spans", lambda s: s["kind"].isin(base))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [F.size(F.filter("spans", _is_kind(k))).cast("long").alias(f"n_{k}") for k in base]
     return scanned.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
