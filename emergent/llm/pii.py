@@ -227,7 +227,8 @@ def _added(text: Column, model: Trees, threshold: float) -> Column:
 
 
 def _by_kind(spans: Column) -> Column:
-    return F.concat(*(F.filter(spans, lambda s, k=k: s["kind"] == k) for k in LOOSE))
+    is_kind = lambda kind: lambda span: span["kind"] == kind
+    return F.concat(*(F.filter(spans, is_kind(k)) for k in LOOSE))
 
 
 def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
