@@ -97,7 +97,7 @@ def _luhn(digits: Column) -> Column:
 
 VALID: dict[str, Callable[[Column], Column]] = {
     "email": lambda w: F.lit(True),
-    "ip": lambda w: F.forall(F.split(w, r"\."), lambda p: F.ltrim(F.lit("0"), p).rlike("^([0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")),
+    "ip": lambda w: F.forall(F.split(w, r"\."), lambda p: F.ltrim(p, F.lit("0")).rlike("^([0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")),
     "card": lambda w: let(_digits(w), lambda d: F.when(F.length(d).between(16, 19), _luhn(d)).otherwise(F.lit(False))),
     "phone": lambda w: F.length(_digits(w)).between(8, 15),
 }
