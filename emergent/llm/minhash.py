@@ -6,11 +6,13 @@ A document is the set of its distinct word shingles (64-bit hashes). One hash fu
 2. Inverted lists of the retained values generate candidates. Two sets as similar as asked share at least ``overlap_needed`` of their
    sketch values (but with a chance below ``MISS``), so of each sketch only the rarest K - needed + 1 values, by their corpus-wide counts,
    need lists: similar sets meet in one of them, and values that many documents share (licences, boilerplate) hardly ever are among them.
-3. In every list each member is compared with the list's first member only. The union sketch estimates the Jaccard index and filters
-   pairs that can't reach it; exact sets verify the others. Links give components.
-4. Lists whose members are still in several components are compared across components: members outside the list's largest known
-   component against all members, in blocks of ``BLOCK`` by ``BLOCK``, within bands of set sizes that allow a link. This leaves no link
-   between different components unseen, and never forms the pairs inside a group of copies.
+3. Every list has a head: the member whose values are seen most often, which of a text and its edited copies is the text. Each member is
+   compared with the heads of its lists only. The union sketch estimates the Jaccard index and filters pairs that can't reach it; exact
+   sets verify the others. Links give components.
+4. Two members of one list belong to the group of its head. Groups whose members are still in several components are compared across
+   components: members outside the group's largest component against all members, with whole sets, in blocks of at most about ``BLOCK`` by
+   ``BLOCK`` sets, whose intersections are one product of incidence matrices. A block gives one link for each two components. So no link
+   between different components goes unseen, and the pairs inside a component are never formed.
 
 Nothing about documents, links or components is collected on the driver; each round is checkpointed in the shared folder. Every hot list is
 only joined (adaptive execution splits it) or reduced with partial aggregation.
@@ -34,9 +36,9 @@ from emergent.llm.blocks import blocks_of, chained, mix
 from emergent.session import checkpointed, ship
 
 #: Values in a sketch; the chance to miss a link at exactly the threshold; members of a block of comparisons.
-K, MISS, BLOCK = 32, 1e-8, 128
-#: Pairs of sketches that are estimated at once.
-PAIRS = 16_384
+K, MISS, BLOCK = 32, 1e-8, 512
+#: Values of all sets of a block together, about, and of those that are multiplied at once.
+BLOCK_VALUES, SLICE = 400_000, 8192
 _PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -103,7 +105,7 @@ def _sketch_rows(column: pa.Array, k: int) -> np.ndarray:
 
 
 def _lists(classes: DataFrame, needed: int, num: int, den: int, k: int = K) -> DataFrame:
-    """(v, cid, n): the inverted lists that similar sets are sure to meet in."""
+    """(v, cid, n, known): the inverted lists that similar sets are sure to meet in; known is how often a set's values are seen at all."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,12 +117,12 @@ def _lists(classes: DataFrame, needed: int, num: int, den: int, k: int = K) -> D
     kind = classes.schema["cid"].dataType.simpleString()
     rows = classes.mapInArrow(values, f"cid {kind}, n long, v long")
     counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = rows.join(counts, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("seen"))  # at most k
+    held = rows.join(counts, "v").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("seen"), F.sum("df").alias("known"))  # at most k
     small = F.ceil(F.col("n") * den / num) <= k  # then all partners' sketches are whole sets too
     length = F.when(small, F.col("n") - F.ceil(F.col("n") * num / den) + 1).otherwise(F.least(F.lit(k - needed + 1), F.col("n")))
     unseen = F.least(F.lit(k), F.col("n")) - F.size("seen")  # values of this set alone are its rarest
     left = held.withColumn("left", (length - unseen).cast("int")).where("left > 0")
-    return left.select("cid", "n", F.explode(F.slice("seen", F.lit(1), F.col("left"))["v"]).alias("v"))
+    return left.select("cid", "n", "known", F.explode(F.slice("seen", F.lit(1), F.col("left"))["v"]).alias("v"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, needed: int, num: int, den: int, k: int = K) -> DataFrame:
@@ -139,17 +141,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame, needed: int, num: int, den:
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs whose full sets have den * intersection >= num * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks_of(batch.column("text")):
-                own = [s.tobytes() for s in _shingle_sets(block, words)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n), pa.array(own, pa.binary())], ["doc_id", "own"])
-
-    full = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, own binary")
-    joined = pairs.join(full.withColumnsRenamed({"doc_id": "b", "own": "sb"}), "b").join(full.withColumnsRenamed({"doc_id": "a", "own": "sa"}), "a")
+    full = _sets(docs, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), words)
+    joined = pairs.join(full.withColumnsRenamed({"cid": "b", "own": "sb"}), "b").join(full.withColumnsRenamed({"cid": "a", "own": "sa"}), "a")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,66 +171,92 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, needed: int, num: int, den: int, k: int = K) -> DataFrame:
-    """Candidate pairs (a, b) of lists that hold several components, estimated in blocks."""
-    kind = classes.schema["cid"].dataType.simpleString()
-    labelled = lists.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    whole = labelled.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"))
-    open_lists = whole.where("lo < hi").groupBy("m", "sum").agg(F.min("v").alias("v")).select("v")  # lists of the same members count once
-    base = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    banded = labelled.join(open_lists, "v").withColumn("band", F.explode(F.array(base, base + 1)))
-    sizes = banded.groupBy("v", "band", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("v", "band").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-    largest = largest.where("labels > 1").select("v", "band", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.c")).alias("r"))
-    member = banded.join(largest, ["v", "band"])
-    chunks = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
-    chunk = lambda count: F.pmod(F.xxhash64("cid"), chunks(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), chunks(count) - 1))
-    outside = member.where("label <> main").select("v", "band", "cid", "label", F.lit(True).alias("side"), chunk("r").alias("i"), every("m").alias("j"))
-    all_members = member.select("v", "band", "cid", "label", F.lit(False).alias("side"), every("r").alias("i"), chunk("m").alias("j"))
-    rows = outside.unionByName(all_members).join(classes.select("cid", "sketch"), "cid")
-
-    keys = ["v", "band", "i", "j"]
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(cid, own): the whole sets of the wanted documents (column cid), as sorted 64-bit values."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks_of(batch.column("text")):
+                own = [s.tobytes() for s in _shingle_sets(block, words)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n), pa.array(own, pa.binary())], ["cid", "own"])
+
+    return docs.select("doc_id", "text").join(wanted.withColumnRenamed("cid", "doc_id"), "doc_id", "left_semi").mapInArrow(sets, f"cid {kind}, own binary")
+
+
+def _across(groups: DataFrame, labels: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components within groups (head, cid, n): one for each two components that a block finds linked."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    labelled = groups.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    parts = labelled.groupBy("head", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    top = F.max(F.struct("c", "w", "label")).alias("top")
+    whole = parts.groupBy("head").agg(F.sum("c").alias("m"), F.sum("w").alias("mw"), top, F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    chunks = lambda count, weight: F.greatest(F.ceil(count / BLOCK), F.ceil(weight / BLOCK_VALUES)).cast("int")
+    outside, every = chunks(F.col("m") - F.col("top.c"), F.col("mw") - F.col("top.w")), chunks(F.col("m"), F.col("mw"))
+    open_groups = whole.select("head", F.col("top.label").alias("main"), outside.alias("ni"), every.alias("nj"))
+    member = labelled.join(open_groups, "head")
+    chunk = lambda count: F.pmod(F.xxhash64("cid"), F.col(count)).cast("int")
+    spread = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = member.where("label <> main").select("head", "cid", "label", F.lit(True).alias("side"), chunk("ni").alias("i"), spread("nj").alias("j"))
+    right = member.select("head", "cid", "label", F.lit(False).alias("side"), spread("ni").alias("i"), chunk("nj").alias("j"))
+    rows = checkpointed(left.unionByName(right))
+    full = rows.join(_sets(docs, rows.select("cid").distinct(), words), "cid")
+    keys = ["head", "i", "j"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal keys, at most two blocks of rows each, the outside members first; a run may span batches."""
+        """Runs of equal keys, the outside members first; a run may span batches."""
         held: list[pa.RecordBatch] = []
         for batch in _then_none(batches):
             if batch is not None and batch.num_rows:
                 held.append(batch)
             if not held or (batch is not None and not batch.num_rows):
                 continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            key = np.column_stack([rows.column(k).to_numpy() for k in keys])
+            table = pa.Table.from_batches(held)
+            key = np.column_stack([table.column(k).to_numpy() for k in keys])
             start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             ends = np.append(start[1:], len(key))
+            held = []
             if batch is not None:  # the last run may go on
-                held = [b for b in rows.slice(int(start[-1])).to_batches()]
+                held = table.slice(int(start[-1])).to_batches()
                 start, ends = start[:-1], ends[:-1]
-                if not len(start):
-                    continue
-            else:
-                held = []
-            side = rows.column("side").to_numpy()
-            cid, label = rows.column("cid").to_numpy(), rows.column("label").to_numpy()
-            sketch = _sketch_rows(rows.column("sketch").combine_chunks(), k)
-            lefts = np.add.reduceat(side[: ends[-1]].astype(np.int64), start)
-            rights = ends - start - lefts
-            for low, high in _spans_of(lefts * rights, PAIRS):
-                left = np.concatenate([np.arange(a, a + n) for a, n in zip(start[low:high], lefts[low:high], strict=True)])
-                times = np.repeat(rights[low:high], lefts[low:high])
-                first = np.repeat(start[low:high] + lefts[low:high], lefts[low:high])
-                x = np.repeat(left, times)
-                y = np.repeat(first, times) + np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
-                other = label[x] != label[y]
-                x, y = x[other], y[other]
-                passed = _union_passes(sketch[x], sketch[y], needed, num, den) if len(x) else np.zeros(0, bool)
-                x, y = cid[x[passed]], cid[y[passed]]
+            for low, high in zip(start.tolist(), ends.tolist(), strict=True):
+                run = table.slice(low, high - low)
+                side, cid, label = (run.column(c).to_numpy() for c in ("side", "cid", "label"))
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in run.column("own")]
+                n = int(side.sum())
+                x, y = _linked(sets[:n], sets[n:], label[:n], label[n:], num, den)
                 if len(x):
+                    pair = np.unique(np.column_stack([np.minimum(label[x], label[n + y]), np.maximum(label[x], label[n + y])]), axis=0, return_index=True)[1]
+                    x, y = cid[x[pair]], cid[n + y[pair]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    sorted_rows = rows.select(*keys, "side", "cid", "label", "sketch").repartition(*keys).sortWithinPartitions(*keys, F.desc("side"))
-    return sorted_rows.mapInArrow(compared, f"a {kind}, b {kind}").distinct()
+    ordered = full.select(*keys, "side", "cid", "label", "own").repartition(*keys).sortWithinPartitions(*keys, F.desc("side"))
+    return ordered.mapInArrow(compared, f"a {kind}, b {kind}").distinct()
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], own: np.ndarray, other: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets of different labels with den * intersection >= num * union: exact intersections as a product of incidences."""
+    if not left or not right:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    values, owners = zip(*((np.concatenate(side), np.repeat(np.arange(len(side)), n)) for side, n in zip((left, right), sizes, strict=True)), strict=True)
+    shared = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    both = np.zeros((len(left), len(right)), np.float32)  # counts below 2**24 are exact
+    places = []
+    for v in values:
+        at = np.minimum(np.searchsorted(shared, v), max(len(shared) - 1, 0))
+        places.append(np.where(shared[at] == v, at, -1) if len(shared) else np.full(len(v), -1))
+    for low in range(0, len(shared), SLICE):
+        width = min(SLICE, len(shared) - low)
+        incidence = []
+        for place, owner, side in zip(places, owners, (left, right), strict=True):
+            some = (place >= low) & (place < low + width)
+            one = np.zeros((len(side), width), np.float32)
+            one[owner[some], place[some] - low] = 1
+            incidence.append(one)
+        both += incidence[0] @ incidence[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - both
+    return np.nonzero((den * both.astype(np.float64) >= num * union) & (own[:, None] != other[None, :]))
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -244,13 +264,6 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def _spans_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive spans of about ``most`` in sum."""
-    part = np.cumsum(sizes) // most
-    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(sizes))
-    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; documents with den * intersection >= num * union are linked."""
     needed = overlap_needed(num / den)
@@ -259,14 +272,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     usable = made.where("n > 0 and doc_id is not null")
     classes = checkpointed(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cid"), F.first("sketch").alias("sketch")))
     lists = checkpointed(_lists(classes.select("cid", "n", "sketch"), needed, num, den))
-    heads = lists.groupBy("v").agg(F.min(F.struct("cid", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = lists.join(heads, "v").where("cid <> head.cid")
-    near_size = (F.col("n") * den >= F.col("head.n") * num) & (F.col("head.n") * den >= F.col("n") * num)
-    pairs = stars.where(near_size).select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct()
-    first = checkpointed(_verified(checkpointed(_estimated(pairs, classes, needed, num, den)), docs, words, num, den))
+    first_known = F.max(F.struct("known", (-F.col("cid")).alias("first"), "cid", "n")).alias("top")
+    heads = lists.groupBy("v").agg(first_known, F.count(F.lit(1)).alias("m")).where("m > 1").select("v", F.col("top.cid").alias("head"), F.col("top.n").alias("head_n"))
+    groups = checkpointed(lists.join(heads, "v").select("head", "head_n", "cid", "n").distinct())
+    near_size = (F.col("n") * den >= F.col("head_n") * num) & (F.col("head_n") * den >= F.col("n") * num)
+    stars = groups.where("cid <> head").where(near_size).select(F.col("head").alias("a"), F.col("cid").alias("b"))
+    first = checkpointed(_verified(checkpointed(_estimated(stars, classes, needed, num, den)), docs, words, num, den))
     labels = components(first)
-    more = checkpointed(_across(lists, labels, classes, needed, num, den))
-    second = checkpointed(_verified(more, docs, words, num, den))
+    second = checkpointed(_across(groups.select("head", "cid", "n"), labels, docs, words, num, den))
     if not second.isEmpty():
         labels = components(first.union(second))
     keyed = classes.join(labels, "cid", "left").select("n", "h1", "h2", F.coalesce("label", "cid").alias("component_id"))
