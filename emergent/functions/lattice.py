@@ -135,11 +135,8 @@ class Node:
             return "VARCHAR"
         if self.shape == "SCALAR":
             return "VARCHAR" if self.kind == "UNSET" else self.kind
-        if self.shape == "ARRAY" and self.element is not None:
-            if self.element.shape == "ARRAY":
-                return self.element.type() + "[]" if self.element.type() != "JSON" else "JSON[]"
-            if self.element.shape in ("UNSET", "SCALAR"):
-                return self.element.type() + "[]"
+        if self.shape == "ARRAY" and self.element is not None and self.element.shape in ("UNSET", "SCALAR", "ARRAY"):
+            return self.element.type() + "[]"
         return "VARCHAR[]" if self.shape == "ARRAY" and self.element is None else "JSON"
 
     def seen(self) -> bool:
