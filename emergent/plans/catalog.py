@@ -224,14 +224,14 @@ def optimize_preserves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT id, kind, user FROM events")
 
 
-@query("SELECT event_type AS kind, count(*) AS n FROM events WHERE event_id < 200 GROUP BY 1")
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def async_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small payloads through the buffers, as single requests would send them."""
+    """NDJSON payloads of a thousand lines through the buffers, as requests would send them; one payload is on the driver at a time."""
     e = engine(spark)
-    e.buffers.max_age = 3600
-    for row in documents(table(spark, sf_dir, "events").where("event_id < 200"), F.col("event_id").alias("id"), F.col("event_type").alias("kind")).collect():
-        e.enqueue("t", row["value"])
-    e.raw_flush()
+    docs = documents(table(spark, sf_dir, "events"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    bodies = docs.groupBy(F.floor(F.get_json_object("value", "$.id").cast("long") / 1000)).agg(F.array_join(F.collect_list("value"), "\n").alias("body"))
+    for row in bodies.select("body").toLocalIterator():
+        e.enqueue("t", row["body"])
     e.buffers.close()
     return e.sql("SELECT kind, count(*) AS n FROM t GROUP BY kind")
 
