@@ -25,7 +25,7 @@ def _mapped(function: Callable[[str], str | None]):
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(function, na_action="ignore").astype(object)
 
-    return F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR)
+    return F.pandas_udf(run, T.StringType())
 
 
 def _rows(payload: str, path: list[str], otlp: bool, ignore_errors: bool) -> tuple[list[Any], list[lattice.Column], bool]:
