@@ -12,11 +12,18 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows and bytes of an Arrow batch, where the session sets none: what workers hold at once is small however long texts are.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once for each application.
+    """Make this package importable in the Python workers, once for each application, and bound Arrow batches.
 
     The zip is served by the driver to every executor, so nothing depends on a shared or local folder.
     """
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     context = getattr(spark, "sparkContext", None)
     if context is None or context.applicationId in _shipped:
         return
