@@ -13,7 +13,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 1024
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -146,10 +146,11 @@ def blocks_of(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(n, max(first + 1, last))
+        last = min(n, first + BLOCK_ROWS, max(first + 1, last))
         low, high = int(offsets[first]), int(offsets[last])
         yield Block(first, data[low:high], offsets[first:last] - low, offsets[first + 1 : last + 1] - low)
         first = last
+    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
 def counts_between(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
