@@ -31,7 +31,7 @@ from emergent.session import ship
 #: Slots of a worker's table of words; a word that finds its slot taken is encoded again in each block that holds it.
 SLOTS = 1 << 21
 #: Ids kept in a worker's table before it starts anew; bounds its memory.
-KEPT_IDS = 1 << 22
+KEPT_IDS = 1 << 23
 
 _sure = np.zeros(256, bool)  # bytes that cannot begin a white-space character
 _sure[0x21:0x7F] = True
