@@ -26,6 +26,7 @@ class Inferred:
     rows: int
     errors: int
     scalar: bool  # rows are bare values in one column named value
+    plain: bool = False  # every payload is one object and so its own row document
 
 
 def rows_of(payloads: DataFrame, path: list[str], otlp: bool, ignore_errors: bool = False) -> DataFrame:
@@ -53,7 +54,7 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        root, bare, rows, objects, errors, wrong = Node(), Node(), 0, 0, 0, None
+        root, bare, rows, objects, errors, wrong, plain = Node(), Node(), 0, 0, 0, None, not path
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text is None:
@@ -64,6 +65,7 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
                     wrong = wrong or str(e)
                     continue
                 errors += broken
+                plain = plain and len(documents) == 1 and isinstance(documents[0], dict) and text.lstrip().startswith("{") and not broken
                 for row in apply(documents, path, otlp):
                     rows += 1
                     if isinstance(row, dict):
@@ -71,11 +73,11 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
                         root.add(row)
                     else:
                         bare.add(row)
-        part = [TaskContext.get().partitionId(), json.dumps(root.dump()), json.dumps(bare.dump()), rows, objects, errors, wrong]
-        yield pa.RecordBatch.from_pylist([dict(zip(["part", "root", "bare", "rows", "objects", "errors", "wrong"], part, strict=True))], schema=_PARTIAL)
+        part = [TaskContext.get().partitionId(), json.dumps(root.dump()), json.dumps(bare.dump()), rows, objects, errors, wrong, plain]
+        yield pa.RecordBatch.from_pylist([dict(zip(["part", "root", "bare", "rows", "objects", "errors", "wrong", "plain"], part, strict=True))], schema=_PARTIAL)
 
     name = payloads.columns[0]
-    partials = payloads.select(F.col(f"`{name}`").cast("string")).mapInArrow(merged, "part int, root string, bare string, rows long, objects long, errors long, wrong string").collect()
+    partials = payloads.select(F.col(f"`{name}`").cast("string")).mapInArrow(merged, "part int, root string, bare string, rows long, objects long, errors long, wrong string, plain boolean").collect()
     root, bare = Node(), Node()
     for p in sorted(partials, key=lambda p: p["part"]):
         if p["wrong"]:
@@ -88,7 +90,14 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
         columns = [Column("value", (), bare.type(), not bare.seen())] if bare.seen() else []
     else:
         columns = flatten(root)
-    return Inferred(columns, rows, sum(p["errors"] for p in partials), scalar)
+    return Inferred(columns, rows, sum(p["errors"] for p in partials), scalar, all(p["plain"] for p in partials))
 
 
-_PARTIAL = pa.schema([("part", pa.int32()), ("root", pa.string()), ("bare", pa.string()), ("rows", pa.int64()), ("objects", pa.int64()), ("errors", pa.int64()), ("wrong", pa.string())])
+def documents_of(payloads: DataFrame, found: Inferred, path: list[str], otlp: bool, ignore_errors: bool = False) -> DataFrame:
+    """Row documents of payloads that were inferred; texts that are row documents already skip the pass through Python."""
+    if found.plain:
+        return payloads.select(F.col(f"`{payloads.columns[0]}`").cast("string").alias("value"))
+    return rows_of(payloads, path, otlp, ignore_errors)
+
+
+_PARTIAL = pa.schema([("part", pa.int32()), ("root", pa.string()), ("bare", pa.string()), ("rows", pa.int64()), ("objects", pa.int64()), ("errors", pa.int64()), ("wrong", pa.string()), ("plain", pa.bool_())])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emergent.functions import lattice
-from emergent.operators.infer import Inferred, infer, rows_of
+from emergent.operators.infer import Inferred, documents_of, infer
 from emergent.operators.shred import shred
 from emergent.operators.transforms import Registry
 from emergent.sources.store import Manifest, StoreError, Table
@@ -79,7 +79,7 @@ def ingest(table: Table, payloads: DataFrame, registry: Registry, transform: str
     """
     path, otlp = registry.resolve(transform, explode)
     found = infer(payloads, path, otlp, ignore_errors)
-    rows = rows_of(payloads, path, otlp, ignore_errors)
+    rows = documents_of(payloads, found, path, otlp, ignore_errors)
     with lock_of(table):
         for attempt in range(RETRIES):
             manifest = table.manifest()

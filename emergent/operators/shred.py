@@ -131,9 +131,9 @@ def shred(rows: DataFrame, columns: list[Column], scalar: bool = False) -> DataF
 
 def records(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False, ignore_errors: bool = False) -> DataFrame:
     """Typed rows of a DataFrame of payloads, with the columns that their documents have."""
-    from emergent.operators.infer import infer, rows_of
+    from emergent.operators.infer import documents_of, infer
 
     found = infer(payloads, path, otlp, ignore_errors)
     if not found.columns:
         return payloads.sparkSession.createDataFrame([], T.StructType([T.StructField("value", T.StringType(), True, {"lattice": "JSON"})]))
-    return shred(rows_of(payloads, path or [], otlp, ignore_errors), found.columns, found.scalar)
+    return shred(documents_of(payloads, found, path or [], otlp, ignore_errors), found.columns, found.scalar)
