@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
