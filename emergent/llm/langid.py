@@ -1,7 +1,7 @@
 """Language identification as mixture inference.
 
-Every language has a distribution over hashed letter 3-grams, learnt from a bounded sample (about ``rows`` documents for each of the
-``LANGUAGES`` most frequent languages, by a hash of doc_id). A document is a mixture: each run of letters was written in one of its
+Every language has a distribution over hashed letter 3-grams, learnt from a bounded sample (about ``rows`` documents of each language, one
+at least, by a hash of doc_id); every lang value that a learnable document has is learnt, however many there are. A document is a mixture: each run of letters was written in one of its
 languages. Expectation-maximisation over the runs' likelihoods estimates the proportions; the set of languages is the one, among the sets
 of the k largest proportions, of highest penalised likelihood (BIC). The prediction is the largest proportion of that set.
 
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emergent.llm import learn
-from emergent.llm.blocks import Block, blocks_of
+from emergent.llm.blocks import BLOCK_BYTES, Block, blocks_of
 from emergent.session import ship
 
-#: Buckets of 3-grams, languages that a model holds at most, steps of expectation-maximisation.
-DIMS, LANGUAGES, STEPS = 1 << 16, 64, 8
+#: Buckets of 3-grams, steps of expectation-maximisation, languages whose counts a task holds at once, and those that a whole block suits.
+DIMS, STEPS, HELD, BLOCK_LANGUAGES = 1 << 16, 8, 64, 16
 UNKNOWN = "und"
 
 _letter = np.zeros(256, bool)
@@ -59,7 +59,7 @@ def grams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Model:
     names: list[str]
-    log_p: np.ndarray  # of each bucket and language
+    log_p: np.ndarray  # of each language and bucket
 
     def mixtures(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """For each text the proportions of its languages (0 outside the selected set) and the number of runs."""
@@ -72,7 +72,7 @@ class Model:
         count = runs[full].astype(np.float32)
         first = np.zeros(len(full), np.int64)
         np.cumsum(runs[full][:-1], out=first[1:])
-        like = np.stack([np.add.reduceat(row[bucket], at) for row in np.ascontiguousarray(self.log_p.T)])
+        like = np.stack([np.add.reduceat(row[bucket], at) for row in self.log_p])
         like = np.exp(like - like.max(axis=0))
         each = np.repeat(np.arange(len(full)), runs[full])
         share = np.full((k, len(full)), 1 / k, np.float32)
@@ -83,15 +83,23 @@ class Model:
         order = np.argsort(-share, axis=0, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(k)[:, None], axis=0)
-        best, chosen = np.full(len(full), -np.inf), share
+        # The sets are nested, so each adds one language to the likelihood of the one before.
+        best, chosen = np.full(len(full), -np.inf), np.ones(len(full), np.int64)
+        penalty, own = np.log(np.maximum(count, 2)), np.arange(len(full))
+        total, mass = np.zeros(len(at), np.float32), np.zeros(len(full), np.float32)
         for size in range(1, k + 1):
-            kept = np.where(rank < size, share, 0)
-            kept = kept / np.maximum(kept.sum(axis=0), np.float32(1e-30))
-            fit = np.add.reduceat(np.log((like * kept[:, each]).sum(axis=0) + np.float32(1e-30)), first)
-            score = 2 * fit - (size - 1) * np.log(np.maximum(count, 2))
+            lang = order[size - 1]
+            new = share[lang, own]
+            mass += new
+            total += like[lang[each], np.arange(len(at))] * new[each]
+            fit = np.add.reduceat(np.log(total / np.maximum(mass, np.float32(1e-30))[each] + np.float32(1e-30)), first)
+            score = 2 * fit - (size - 1) * penalty
             better = score > best + 1e-6
-            best = np.where(better, score, best)
-            chosen = np.where(better, kept, chosen)
+            best, chosen = np.where(better, score, best), np.where(better, size, chosen)
+            if (1e-5 * count - size * penalty <= best).all():  # no run is likelier than 1, so no larger set is better
+                break
+        chosen = np.where(rank < chosen, share, 0)
+        chosen /= np.maximum(chosen.sum(axis=0), np.float32(1e-30))
         out = np.zeros((n, k), np.float32)
         out[full] = chosen.T
         return out, runs
@@ -100,16 +108,22 @@ class Model:
 def fit(docs: DataFrame, rows: int = 800) -> Model:
     """Learn from about ``rows`` documents of each language, none of them held out."""
     ship(docs.sparkSession)
-    usable = docs.select("doc_id", "text", "lang").where(~learn.held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return Model([], np.zeros((DIMS, 0), np.float32))
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows / r["count"]))])
+    lettered = F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")
+    usable = docs.select("doc_id", "text", "lang").where(~learn.held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & lettered)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = usable.where(chance < F.coalesce(rate[F.col("lang")], F.lit(0.0))).limit(2 * rows * len(sizes))
+    drawn = usable.withColumn("chance", chance)
+    sizes = drawn.groupBy("lang").agg(F.greatest(F.lit(rows) / F.count(F.lit(1)), F.min("chance")).alias("rate"))
+    sample = drawn.join(F.broadcast(sizes), "lang").where("chance <= rate").select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
+
+        def drained() -> Iterator[pa.RecordBatch]:
+            for lang, total in totals.items():
+                cells = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], ["lang", "cell", "n"])
+            totals.clear()
+
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for block in blocks_of(batch.column("text")):
@@ -118,28 +132,33 @@ def fit(docs: DataFrame, rows: int = 800) -> Model:
                 edges = np.searchsorted(owner, np.arange(block.n + 1))
                 for i in range(block.n):
                     lang = langs[block.first + i]
-                    totals.setdefault(lang, np.zeros(DIMS, np.int64))
+                    if lang not in totals:
+                        if len(totals) >= HELD:
+                            yield from drained()
+                        totals[lang] = np.zeros(DIMS, np.int64)
                     totals[lang] += np.bincount(bucket[edges[i] : edges[i + 1]], minlength=DIMS)
-        for lang, total in totals.items():
-            cells = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], ["lang", "cell", "n"])
+        yield from drained()
 
     found = sample.mapInArrow(counted, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(found["lang"].unique())
-    counts = np.full((DIMS, len(names)), 0.5)
+    log_p = np.empty((len(names), DIMS), np.float32)
+    parts = found.groupby("lang")
     for j, name in enumerate(names):
-        part = found[found["lang"] == name]
-        counts[part["cell"].to_numpy(), j] += part["n"].to_numpy()
-    return Model(list(names), np.log(counts / counts.sum(axis=0)).astype(np.float32))
+        part, counts = parts.get_group(name), np.full(DIMS, 0.5)
+        counts[part["cell"].to_numpy()] += part["n"].to_numpy()
+        log_p[j] = np.log(counts / counts.sum())
+    return Model(names, log_p)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score and mixture (language to proportion) of each row of docs."""
     ship(docs.sparkSession)
 
+    limit = BLOCK_BYTES * BLOCK_LANGUAGES // max(BLOCK_LANGUAGES, len(model.names))  # memory goes with runs and languages
+
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks_of(batch.column("text")):
+            for block in blocks_of(batch.column("text"), limit):
                 share, runs = model.mixtures(block)
                 names, scores, mixed = [], [], []
                 for i in range(block.n):

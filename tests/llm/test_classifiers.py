@@ -107,3 +107,18 @@ def test_language(spark):
     empty = langid.fit(frame.where("lang is null"))
     assert {x["lang_pred"] for x in langid.predict(frame, empty).collect()} == {"und"}
     assert langid.predict(frame.limit(0), model).count() == 0
+
+
+def test_every_language_is_learnt(spark):
+    r = random.Random(4)
+    langs = [f"l{k:02}" for k in range(70)]
+    syllables = {lang: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)] for lang in langs}
+    sizes = {lang: 20 if k < 64 else 10 for k, lang in enumerate(langs)}
+    owners = [lang for lang in langs for _ in range(sizes[lang])]
+    docs = [(i, " ".join("".join(r.choice(syllables[lang]) for _ in range(3)) for _ in range(30)), lang) for i, lang in enumerate(owners)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert model.names == langs
+    by = {x["doc_id"]: x["lang_pred"] for x in langid.predict(frame, model).collect()}
+    assert all(by[i] == lang for i, _, lang in docs)
+    assert langid.fit(frame, rows=1).names == langs
