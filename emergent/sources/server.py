@@ -70,7 +70,7 @@ class Api:
     def ingest(self, name: str, body: str, options: dict[str, str]) -> tuple[int, dict[str, Any]]:
         transform, explode = options.get("transform"), options.get("explode")
         if not transform and not explode:
-            transform = next((t for key, t in ENVELOPES.items() if f'"{key}"' in body[:4096]), None)
+            transform = next((t for key, t in ENVELOPES.items() if f'"{key}"' in body), None)
         skip = options.get("ignore_errors") == "true"
         if self.buffered:
             self.engine.enqueue(name, body, transform, explode, skip)
