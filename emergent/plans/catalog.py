@@ -233,6 +233,8 @@ def async_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     for row in bodies.select("body").toLocalIterator():
         e.enqueue("t", row["body"])
     e.buffers.close()
+    if e.buffers.errors:
+        raise RuntimeError("; ".join(e.buffers.errors))
     return e.sql("SELECT kind, count(*) AS n FROM t GROUP BY kind")
 
 
