@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs. The
 first four keep the columns of documents; the last returns the packed pieces. Rows with null or empty texts go in the first stage, which
-asks for fifty words; rows that repeat are kept or dropped like any others.
+asks for fifty words; near dedup judges every row by its own text, whatever doc_id it shares, and keeps rows without doc_id.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emergent.llm import lines, minhash, packing, quality, secret_scan
-from emergent.session import shared_dir
+from emergent.session import checkpointed, shared_dir
 
 #: SQL can't express the trained verdict of the first stage or the packing of the last; tests hold both against brute force.
 ORACLE_SQL = None
@@ -31,11 +31,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return stripped.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number ``_row`` of each row that has a doc_id, in the order of doc_id; doc_id itself where none is repeated."""
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return checkpointed(ordered.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group of near-duplicates (five words, 0.8)."""
-    verdict = minhash.near_duplicates(docs, words=5, num=80, den=100)
-    gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row, the first by doc_id, of each group of near-duplicates (five words, 0.8)."""
+    rows = _numbered(docs)
+    verdict = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100)
+    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,18 @@ def test_stages_and_run(spark):
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(left)
 
 
+def test_near_dedup_judges_rows_that_share_a_doc_id_alone(spark):
+    import corpus_pipeline as pipeline
+
+    text = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    docs = [(1, text("a")), (1, text("a")), (2, text("b")), (2, text("a") + " more"), (3, text("c")), (3, text("d")), (4, text("d")), (None, text("a")), (None, text("a"))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    left = pipeline.near_dedup(spark, frame, DATA)
+    assert left.columns == frame.columns
+    kept = [(d, t[0]) for d, t in left.collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a"), (2, "b"), (3, "c"), (3, "d"), (None, "a"), (None, "a")], key=str)
+
+
 @pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op2_line_dedup", "op3_exact_top_k"])
 def test_queries_and_sql(spark, name):
     from emergent.llm import queries
