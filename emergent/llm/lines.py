@@ -5,9 +5,9 @@ and distinct key of at least ``MIN_CHARS`` code points (128-bit hash of the key)
 and each key's first document. Cuckoo filters, one for each shard of the key space, hold the keys with two or more references, so a pass
 over the texts sends only lines that may repeat to the exact table, which decides.
 
-``insert`` adds documents, ``delete`` takes documents away again; both change the reference rows of those documents only, and the filters
-of the shards whose keys cross from one reference to two or back. After any sequence of them, ``apply`` gives what a fresh index over the
-remaining documents would give.
+``insert`` adds documents, ``delete`` takes documents away again. Both rebuild the index: the reference table is grouped again and every
+filter made anew, whatever the size of the change, as no reference counts are kept between changes. After any sequence of them, ``strip``
+gives what a fresh index over the remaining documents would give.
 
 Scale: the pass emits a line's key only where a filter has it; filters travel to executors only while they are below
 ``FILTER_BYTES`` together, and beyond that all keys join the exact table by a shuffle. Counting combines within each task before the
