@@ -1,10 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Texts become sequences of token classes: insults (with a weight learnt from labelled rows), threats, targets, negations, reported speech
-and other words. Three weighted transducers read them from clause to clause: one raises an insult near a target and lets a threat count
-only near one, one lowers what follows a negation, one lowers what follows a verb of reported speech. They are composed into one machine,
-whose weight of a clause is the sum of what it emits; isolated words have no score of their own. Logistic regression turns a text's
-strongest clause and its total into a calibrated probability.
+and other words. Weighted transducers read them from clause to clause: one raises an insult near a target and lets a threat count only near
+one, one lowers what follows a negation, one lowers what follows a verb of reported speech. A pass from the clause's end first marks the
+insults that a target follows, so targets act on both sides. The transducers are composed into one machine, whose weight of a clause is the
+sum of what it emits. Logistic regression turns a text's strongest clause and its total into a calibrated probability.
+
+A departure from matching clauses rather than isolated words: an insult with no target in its clause counts with its full learnt weight, and
+the transducers only scale it, because labels may follow single words and an insult without a target would else be lost. Threats and all
+other words alone have no score.
 
 Insults are learnt from at most ``rows`` labelled documents, chosen by a hash of doc_id, none of them held out: whole words and word
 beginnings of 4 and 5 letters, kept where toxic documents hold them far more often than others (equal texts count once).
@@ -30,7 +34,7 @@ from emergent.session import ship
 
 #: Labelled documents learnt from at most, terms kept at most, and the least log-odds and documents of a term.
 ROWS, TERMS, LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 12_000, 4_000, 2.5, 4, 0.01
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+SYMBOLS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED = range(7)  # AIMED: an insult that a target follows
 PREFIXES = (4, 5)
 
 # Function words of the grammar.
@@ -58,18 +62,30 @@ def _fading(trigger: int, reach: int, effect: dict[int, tuple[float, float]]) ->
     """After the trigger, the effect (symbol to factor and bonus) holds for ``reach`` tokens."""
     moves: dict[tuple[int, int], tuple[int, float, float]] = {(0, trigger): (reach, 1.0, 0.0)}
     for left in range(1, reach + 1):
-        for symbol in range(6):
+        for symbol in SYMBOLS:
             factor, bonus = effect.get(symbol, (1.0, 0.0))
             moves[left, symbol] = (reach if symbol == trigger else left - 1, factor, bonus)
     return Transducer(moves)
 
 
-TOWARDS = _fading(TARGET, 6, {INSULT: (1.25, 0.0), THREAT: (1.0, 4.0)})
-NEGATED = _fading(NEGATION, 3, {INSULT: (0.6, 0.0), THREAT: (0.3, 0.0)})
-REPORTED = _fading(REPORT, 8, {INSULT: (0.7, 0.0), THREAT: (0.4, 0.0)})
+REACH = 6
+TOWARDS = _fading(TARGET, REACH, {INSULT: (1.25, 0.0), AIMED: (1.25, 0.0), THREAT: (1.0, 4.0)})
+TOWARDS.moves[0, AIMED] = (0, 1.25, 0.0)
+NEGATED = _fading(NEGATION, 3, {INSULT: (0.6, 0.0), AIMED: (0.6, 0.0), THREAT: (0.3, 0.0)})
+REPORTED = _fading(REPORT, 8, {INSULT: (0.7, 0.0), AIMED: (0.7, 0.0), THREAT: (0.4, 0.0)})
 THREATENING = _fading(THREAT, 4, {TARGET: (1.0, 4.0)})
 
 
+def _aimed(symbols: list[int]) -> list[int]:
+    """The symbols with AIMED for each insult that a target follows within REACH tokens, read from the end."""
+    out, left = list(symbols), 0
+    for i in range(len(out) - 1, -1, -1):
+        if out[i] == INSULT and left:
+            out[i] = AIMED
+        left = REACH if symbols[i] == TARGET else max(left - 1, 0)
+    return out
+
+
 class Composition:
     """The product of transducers, built as its states are met; bonuses add up first, then factors multiply them and the token's weight."""
 
@@ -88,7 +104,7 @@ class Composition:
 
     def weight(self, symbols: list[int], weights: list[float]) -> float:
         state, total = self.start, 0.0
-        for symbol, weight in zip(symbols, weights, strict=True):
+        for symbol, weight in zip(_aimed(symbols), weights, strict=True):
             state, factor, bonus = self.step(state, symbol)
             total += factor * (weight + bonus)
         return total

@@ -88,6 +88,15 @@ def test_grammar_scores_clauses():
     assert weigh(H) == 0 and weigh(H, T) > 0 and weigh(T, O, H) > 0 and weigh(N, H, T) >= 0
 
 
+def test_targets_act_on_both_sides_of_an_insult():
+    g = toxicity.Composition(toxicity.GRAMMAR)
+    I, O, T, N = toxicity.INSULT, toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION
+    weigh = lambda *s: g.weight(list(s), [4.0 if x == I else 0.0 for x in s])
+    assert weigh(I, O, T) == weigh(T, O, I) == weigh(T, I, T) == 5
+    assert weigh(I, *[O] * 5, T) == 5 and weigh(I, *[O] * 6, T) == 4
+    assert weigh(N, I, T) == 0.6 * 5
+
+
 def test_language(spark):
     r = random.Random(3)
     syllables = {"aa": ["ka", "ti", "mo"], "bb": ["sch", "ung", "ver"], "cc": ["ção", "ê", "lh"]}
