@@ -1,8 +1,10 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
 Generators with high recall propose spans, which may overlap: one pattern for each base kind, whose valid spans are exact and always stay,
-and one pattern for looser forms (phone numbers without a plus, national ids, bank accounts, spelt-out mail addresses). Boosted trees score a
-loose candidate by its format and its context; a calibrated threshold for each kind selects what is added to the base spans.
+and one for each looser kind (phone numbers without a plus, national ids, bank accounts, spelt-out mail addresses), tried at every start of a
+run and, for accounts, with every shorter form. Boosted trees score a loose candidate by its format and its context; a threshold for each
+kind, calibrated on examples not learnt from, selects, and of overlapping candidates the likeliest, then the longest, is added to the base
+spans.
 
 The trees are trained on the driver from a few hundred made-up candidates (no table has labels for them), whose features come from the same
 expressions; scoring is a sum of CASE expressions, so the main path has neither Python nor RDD code. Patterns are possessive, and begin
@@ -15,6 +17,7 @@ long; other columns are ignored by ``find`` and carried by ``redact``.
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Callable
 from functools import reduce
 from operator import add
@@ -41,8 +44,9 @@ LOOSE = {
     "account": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?",
     "spelt_email": r"[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,24}",
 }
-PROPOSED = r"(?<![A-Za-z0-9._+-])(?:" + "|".join(f"(?:{p})" for p in LOOSE.values()) + ")"
-CONTEXT, THRESHOLD = 24, 0.9
+BEGIN = r"(?<![A-Za-z0-9._+-])"
+#: Characters of context, the least threshold of a kind, and the share of right candidates that a kind's threshold must reach.
+CONTEXT, THRESHOLD, PRECISION = 24, 0.9, 0.95
 _words = {
     "talk": "phone|tel|call|mobile|cell|fax|contact|reach",
     "identity": "ssn|social|security|insurance|passport|identity|tax",
@@ -50,7 +54,7 @@ _words = {
     "post": "mail|write|address|contact|reach",
     "number": "order|version|ticket|part|invoice|item|serial|page|isbn|ref|build|model",
 }
-FEATURES = ("length", "digits", "letters", "separators", "repeats", "edge", "national_id", "local_phone", "account", "spelt_email", *_words)
+FEATURES = ("length", "digits", "letters", "separators", "repeats", "edge", "torn", "national_id", "local_phone", "account", "spelt_email", *_words)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -116,13 +120,13 @@ def features(text: Column, candidate: Column) -> list[Column]:
     """Format and context of a candidate, in the order of FEATURES."""
     word = candidate["found"]
     before = F.lower(F.substring(text, F.greatest(candidate["start"] + 1 - CONTEXT, F.lit(1)).cast("int"), F.least(candidate["start"], F.lit(CONTEXT)).cast("int")))
-    after = F.substring(text, (candidate["end"] + 1).cast("int"), F.lit(1))
+    after = F.substring(text, (candidate["end"] + 1).cast("int"), F.lit(2))
     count = lambda pattern: F.length(F.regexp_replace(word, pattern, ""))
     digits = _digits(word)
     flag = lambda c: c.cast("double")
     return [
         F.length(word).cast("double"), count("[^0-9]").cast("double"), count("[^A-Za-z]").cast("double"), count("[A-Za-z0-9]").cast("double"),
-        flag(digits.rlike(r"^([0-9])\1*$")), flag(after.rlike("[A-Za-z0-9_]")),
+        flag(digits.rlike(r"^([0-9])\1*$")), flag(after.rlike("^[A-Za-z0-9_]")), flag(after.rlike("^[.-][0-9]")),
         *(flag(word.rlike(f"^(?:{p})$")) for p in LOOSE.values()), *(flag(before.rlike(p)) for p in _words.values()),
     ]
 
@@ -145,13 +149,32 @@ def _examples(seed: int = 11, each: int = 60) -> list[tuple[str, str, str, int]]
         rows += [(f"{pick('talk')}: ", phone, " ", 1), (f"{pick('identity')} no ", identity, ".", 1), (f"{pick('money')} ", account, " ", 1), (f"{pick('post')} ", mail, " ", 1), (filler(), mail, " ", 1)]
         rows += [(f"{pick('number')} ", phone, r.choice([" ", "x"]), 0), (filler(), phone, " ", 0), (f"{pick('number')} ", identity, " ", 0), (filler(), identity, r.choice("x "), 0)]
         rows += [(f"{pick('number')} ", code, " ", 0), (filler(), code, r.choice([" ", "A"]), 0), (f"{pick('talk')} ", "000-000-0000", " ", 0), (f"{pick('identity')} ", "000-00-0000", " ", 0)]
+    for _ in range(each):  # an account that runs into the number after it
+        account = f"DE{digits(2)}{digits(12)}" if r.random() < 0.5 else f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)}"
+        rows += [(f"{pick('money')} ", account, f" {digits(3)}", 1), (f"{pick('money')} ", f"{account} {digits(3)}", f"-{digits(3)}", 0)]
     return rows
 
 
+def _kind(word: str) -> str:
+    """The loose kind that a word has the form of, or none."""
+    return next((k for k, p in LOOSE.items() if re.fullmatch(p, word)), "")
+
+
+def _thresholds(chance: np.ndarray, y: np.ndarray, kinds: list[str], least: float = THRESHOLD) -> dict[str, float]:
+    """For each kind the lowest threshold from ``least`` on at which PRECISION of its examples are right; 1 where none does."""
+    out = {}
+    for kind in LOOSE:
+        own = np.array([k == kind for k in kinds])
+        cuts = [least, *np.unique(chance[own & (chance > least)])]
+        right = lambda cut: y[own & (chance >= cut)]
+        out[kind] = float(next((c for c in cuts if len(right(c)) and right(c).mean() >= PRECISION), max(least, 1.0)))
+    return out
+
+
 class Trees:
     """Gradient boosting of depth-two trees on the logistic loss, and Platt scaling of their sum."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 24, rate: float = 0.4) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, kinds: list[str], rounds: int = 24, rate: float = 0.4) -> None:
         later = np.arange(len(y)) % 4 == 3
         fit_x, fit_y = x[~later], y[~later]
         self.base = float(np.log((fit_y.mean() + 1e-6) / (1 - fit_y.mean() + 1e-6)))
@@ -164,6 +187,7 @@ class Trees:
             total += np.array([self._value(tree, row) for row in fit_x])
         raw = self.base + np.array([sum(self._value(t, row) for t in self.trees) for row in x[later]])
         self.a, self.b = learn.fit_calibration(raw, y[later])
+        self.held = learn.sigmoid(self.a * raw + self.b), y[later], [k for k, other in zip(kinds, later, strict=True) if other]
 
     def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float) -> tuple:
         leaf = ("leaf", float(rate * g.sum() / (h.sum() + 1.0)))
@@ -209,20 +233,60 @@ def trees(spark: SparkSession, seed: int = 11) -> Trees:
         made = spark.sql(f"SELECT col1 AS before, col2 AS found, col3 AS after, col4 AS y FROM VALUES {quoted}")
         text = F.concat("before", "found", "after")
         candidate = F.struct(F.length("before").cast("long").alias("start"), (F.length("before") + F.length("found")).cast("long").alias("end"), F.col("found"))
-        found = made.select("y", F.array(*features(text, candidate)).alias("x")).collect()
-        _trained[seed] = Trees(np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float))
+        found = made.select("y", "found", F.array(*features(text, candidate)).alias("x")).collect()
+        _trained[seed] = Trees(np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float), [_kind(r["found"]) for r in found])
     return _trained[seed]
 
 
+def _proposed(text: Column, kind: str) -> Column:
+    """The candidates of a loose kind, one at each start and for accounts every shorter one: array of (start, end, found)."""
+    array = "array<struct<start:long,end:long,found:string>>"
+    pattern = f"{BEGIN}(?=({LOOSE[kind]}))"
+    marked = F.concat(F.lit("\n"), text)  # so that no part is left out before a candidate at the text's start
+    span = lambda start, word: F.struct(start.alias("start"), (start + F.length(word)).cast("long").alias("end"), word.alias("found"))
+
+    def placed(x: Column) -> Column:
+        start = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast(array).alias("out"))
+
+        def one(state: Column, i: Column) -> Column:
+            begin = (state["at"] + F.length(F.element_at(x["between"], i))).cast("long")
+            return F.struct(begin.alias("at"), F.concat(state["out"], F.array(span(begin, F.element_at(x["found"], i))).cast(array)).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(x["found"])), start, one)["out"]
+
+    def shorter(m: Column) -> Column:
+        parts = F.split(m["found"], r"\x20", -1)
+        words = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), " "))
+        return F.transform(F.filter(words, lambda w: w.rlike(f"^(?:{LOOSE[kind]})$")), lambda w: span(m["start"], w))
+
+    both = lambda f: F.struct(f.alias("found"), F.split(marked, pattern, -1).alias("between"))
+    found = let(F.regexp_extract_all(marked, F.lit(pattern), F.lit(1)), lambda f: F.when(F.size(f) > 0, let(both(f), placed)).otherwise(F.array().cast(array)))
+    return F.flatten(F.transform(found, shorter)).cast(array) if kind == "account" else found
+
+
+def _chosen(spans: Column) -> Column:
+    """Of spans with chances those that overlap no likelier one (then longer, then earlier) that is chosen, by start."""
+    by_start = lambda a, b: (a["start"] - b["start"]).cast("int")
+    longer = lambda a, b: ((b["end"] - b["start"]) - (a["end"] - a["start"])).cast("int")
+    order = lambda a, b: F.when(a["chance"] > b["chance"], -1).when(a["chance"] < b["chance"], 1).when(longer(a, b) != 0, longer(a, b)).otherwise(by_start(a, b))
+
+    def one(taken: Column, s: Column) -> Column:
+        return F.when(F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])), taken).otherwise(F.concat(taken, F.array(s)))
+
+    greedy = lambda xs: F.aggregate(F.array_sort(xs, order), F.slice(xs, 1, 0), one)
+    return let(spans, lambda xs: F.when(F.size(xs) > 1, F.array_sort(greedy(xs), by_start)).otherwise(xs))
+
+
 def _added(text: Column, model: Trees, threshold: float) -> Column:
-    """Spans of loose candidates whose probability reaches the threshold, by kind and start."""
+    """Spans of loose candidates whose chance reaches their kind's threshold, none of them overlapping, by start."""
+    least = _thresholds(*model.held, threshold)
 
-    def judged(m: Column) -> Column:
-        kind = F.coalesce(*(F.when(m["found"].rlike(f"^(?:{p})$"), F.lit(k)) for k, p in LOOSE.items()))
-        chance = let(F.array(*features(text, m)), model.probability)
-        return F.struct(kind.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), chance.alias("chance"))
+    def judged(kind: str) -> Column:
+        chance = lambda m: let(F.array(*features(text, m)), model.probability)
+        scored = F.transform(_proposed(text, kind), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), chance(m).alias("chance")))
+        return F.filter(scored, lambda s: s["chance"] >= least[kind])
 
-    good = F.filter(F.transform(matches(text, PROPOSED), judged), lambda s: s["kind"].isNotNull() & (s["chance"] >= threshold))
+    good = _chosen(F.concat(*(judged(k) for k in LOOSE)))
     return F.transform(good, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 

@@ -111,3 +111,10 @@ def test_pii_adds_by_context_and_redacts(spark):
 def test_pii_has_no_python_in_its_plan(spark):
     plan = pii.digest(pii.find(frame(spark, ["a"])))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_overlapping_candidates_of_loose_kinds(spark):
+    texts = ["pay tel BE68539007547034 555-010-9999", "pay to the account BE68539007547034 GB29NWBK60161331926819 now", "call 555-010-9999 or 555-010-9998"]
+    added = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["added"]] for r in pii.find(frame(spark, texts)).collect()}
+    assert sorted(added[0]) == [("account", "BE68539007547034"), ("local_phone", "555-010-9999")]
+    assert ("local_phone", "555-010-9999") in added[2] and ("local_phone", "555-010-9998") in added[2]
