@@ -1,42 +1,45 @@
 """Whole texts as byte blocks: Arrow string buffers seen as numpy arrays, without making Python strings.
 
 A block is a run of rows of one Arrow batch whose texts hold about ``limit`` bytes together (a longer text is a block of its own), so
-memory is bounded by the block and the longest text, whatever the batch size is.
+memory is bounded by the block and the longest text, whatever the batch size is. Small blocks stay in a core's cache, and what a batch took
+goes back to the system after it, because workers live on and an executor's memory is the sum of them.
 """
 
 from __future__ import annotations
 
+import ctypes
+import secrets
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cached_property
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 1024
+BLOCK_BYTES, BLOCK_ROWS = 1 << 18, 256
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_SALT = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Bytes that hashes reads in numpy; longer spans go to BLAKE2b. Bytes of a block that are hashed at once.
+SHORT, CHUNK = 32, 1 << 20
+#: The key of hashes that models keep; where equal hashes decide a result, a key drawn at random makes collisions unforeseeable.
+FIXED = 20240607
+_END = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, for n positions at least."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        tables = []
-        for base in (_STEP, _BACK):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            tables.append(np.multiply.accumulate(row))
-        _powers = (tables[0], tables[1])
-    return _powers
+@lru_cache(maxsize=8)
+def _keyed(key: int) -> tuple[np.ndarray, bytes]:
+    """An odd multiplier and an addend for each lane of eight bytes, and the key of BLAKE2b."""
+    drawn = np.random.default_rng(key).integers(0, 1 << 63, (SHORT // 8, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return drawn, blake2b(key.to_bytes(16, "little"), digest_size=32).digest()
+
+
+def random_key() -> int:
+    """A key that nobody knows beforehand."""
+    return secrets.randbits(62)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -64,7 +67,6 @@ class Block:
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    _prefix: dict = field(default_factory=dict)
 
     @property
     def n(self) -> int:
@@ -106,30 +108,53 @@ class Block:
         """Words of row i are word_bounds[i] to word_bounds[i + 1]."""
         return np.append(np.searchsorted(self.words[0], self.starts), len(self.words[0]))
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
-        if lower not in self._prefix:
-            step, _ = _power_tables(len(self.data) + 1)
-            salt = _SALT[LOWER] if lower else _SALT
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(salt[self.data] * step[: len(self.data)], out=sums[1:])
-            self._prefix[lower] = sums
-        sums, (_, back) = self._prefix[lower], _power_tables(len(self.data) + 1)
-        return mix((sums[ends] - sums[starts]) * back[starts])
-
-    def word_hashes(self, lower: bool = False) -> np.ndarray:
-        return self.hashes(*self.words, lower=lower)
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, key: int = FIXED) -> np.ndarray:
+        """A keyed 64-bit hash of each span of bytes (by ascending starts), equal for equal bytes wherever they stand."""
+        out = np.zeros(len(starts), np.uint64)
+        low = 0
+        while low < len(starts):
+            high = max(low + 1, int(np.searchsorted(starts, starts[low] + CHUNK)))
+            out[low:high] = self._hashed(starts[low:high], ends[low:high], lower, key)
+            low = high
+        return out
+
+    def _hashed(self, starts: np.ndarray, ends: np.ndarray, lower: bool, key: int) -> np.ndarray:
+        lanes, secret = _keyed(key)
+        base, sizes = int(starts[0]), ends - starts
+        part = self.data[base : int(starts[-1]) + SHORT]
+        # Row r holds the eight bytes from each position 8 * q + r on.
+        rows = len(part) // 8 + 1
+        text = np.zeros(8 * rows + 8 + SHORT, np.uint8)
+        text[: len(part)] = LOWER[part] if lower else part
+        at_eight = np.concatenate([text[r : r + 8 * (rows + SHORT // 8)].view("<u8") for r in range(8)])
+        step = rows + SHORT // 8
+        place = starts - base
+        cell = (place & 7) * step + (place >> 3)
+        h = mix((at_eight[cell] & _END[np.minimum(sizes, 8)]) * lanes[0, 0] + lanes[0, 1] + sizes.astype(np.uint64))
+        for k in range(1, SHORT // 8):
+            more = np.flatnonzero(sizes > 8 * k)
+            if not len(more):
+                return h
+            lane = at_eight[cell[more] + k] & _END[np.minimum(sizes[more] - 8 * k, 8)]
+            h[more] = mix((h[more] ^ lane) * lanes[k, 0] + lanes[k, 1])
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            raw = self.data[starts[i] : ends[i]]
+            h[i] = int.from_bytes(blake2b((LOWER[raw] if lower else raw).tobytes(), digest_size=8, key=secret).digest(), "little")
+        return h
+
+    def word_hashes(self, lower: bool = False, key: int = FIXED) -> np.ndarray:
+        return self.hashes(*self.words, lower=lower, key=key)
 
     def starts_of_chars(self) -> np.ndarray:
         """True at the first byte of each code point."""
         return (self.data & 0xC0) != 0x80
 
 
-def hash_of(text: bytes, lower: bool = False) -> int:
+def hash_of(text: bytes, lower: bool = False, key: int = FIXED) -> int:
     """The hash that Block.hashes gives these bytes."""
     data = np.frombuffer(text, np.uint8)
     one = Block(0, data, np.array([0]), np.array([len(data)]))
-    return int(one.hashes(one.starts, one.ends, lower)[0])
+    return int(one.hashes(one.starts, one.ends, lower, key)[0])
 
 
 def blocks_of(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -150,7 +175,22 @@ def blocks_of(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         low, high = int(offsets[first]), int(offsets[last])
         yield Block(first, data[low:high], offsets[first:last] - low, offsets[first + 1 : last + 1] - low)
         first = last
-    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
+    release_memory()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that returns free memory to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def release_memory() -> None:
+    """Give back what Arrow and the C library hold free; else a worker keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def counts_between(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -3,7 +3,8 @@
 A block of texts is split into *words* at places where the byte-level pre-tokenizer always starts a new piece, so that each word can be
 encoded by itself: before a space, and before and after a newline, that is followed by a byte that surely is not white space. The words
 of a block become a table of distinct words; each is encoded once and kept in a bounded table that later blocks of the same worker use;
-the ids then go back to each position by an index join. Decoding joins ids with a table of pieces. Words of ASCII and Latin-1 letters
+the ids then go back to each position by an index join. A word is found by a hash keyed at random in each worker and taken only if its bytes
+are equal. Decoding joins ids with a table of pieces. Words of ASCII and Latin-1 letters
 are encoded by tiktoken over the same vocabulary where its merge ranks are its ids (about eight times as fast), all others by the
 tokenizers library. Only texts holding a special token's string, which the library treats apart from words, are encoded whole.
 
@@ -25,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from emergent.llm.blocks import Block, blocks_of
+from emergent.llm.blocks import Block, blocks_of, random_key
 from emergent.session import ship
 
 #: Slots of a worker's table of words; a word that finds its slot taken is encoded again in each block that holds it.
-SLOTS = 1 << 21
-#: Ids kept in a worker's table before it starts anew; bounds its memory.
-KEPT_IDS = 1 << 23
+SLOTS = 1 << 20
+#: Words, their bytes and their ids that a worker keeps; words met later are encoded for their block alone. Bounds a worker's memory.
+KEPT_WORDS, KEPT_BYTES, KEPT_IDS = 1 << 18, 1 << 22, 1 << 20
 
 _sure = np.zeros(256, bool)  # bytes that cannot begin a white-space character
 _sure[0x21:0x7F] = True
@@ -107,13 +108,29 @@ class WordTable:
         return out
 
     def clear(self) -> None:
-        self.slot = np.full(SLOTS, -1, np.int64)
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.stale = False
+        self.slot = np.full(SLOTS, -1, np.int32)
+        self.words = self.n_bytes = self.n_ids = 0
+        self.key = random_key()
+        # Of each word: hash, where its bytes and its ids begin, and how many they are.
+        self.hash, self.byte_at, self.id_at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.byte_size, self.id_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values into a column from ``at`` on, in a larger array if need be."""
+        column = getattr(self, name)
+        if len(column) < at + len(values):
+            larger = np.zeros(max(2 * len(column), at + len(values), 1 << 12), column.dtype)
+            larger[:at] = column[:at]
+            column = larger
+            setattr(self, name, column)
+        column[at : at + len(values)] = values
 
     def encode_block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, and where each text's ids begin (one entry more than texts)."""
+        if self.stale or len(self.ids) > 4 * KEPT_IDS or len(self.bytes) > 4 * KEPT_BYTES:  # also after a huge text of rare words
+            self.clear()
         data = block.data
         cut = np.zeros(len(data), bool)
         if len(data) > 1:
@@ -132,39 +149,60 @@ class WordTable:
         bounds = np.append(np.searchsorted(starts, block.starts), len(starts))
         sums = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lengths, out=sums[1:])
-        ids = ragged(self.all_ids, self.all_at[word_ids], lengths)
+        ids = ragged(self.ids, self.id_at[word_ids], lengths)
         doc_at = sums[bounds]
         if any(s in data.tobytes() for s in self.special):
             return self._with_special(block, ids, doc_at)
         return ids, doc_at
 
     def _look_up(self, block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = block.hashes(starts, ends)
-        if len(self.ids) > KEPT_IDS:
-            self.clear()
-        place = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        found = self.slot[place]
-        known = (found >= 0) & (self.keys[found] == h) if len(self.keys) else np.zeros(len(h), bool)
-        self.all_ids, self.all_at = self.ids, self.at
-        if not known.all():
-            missing = np.flatnonzero(~known)
-            fresh, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            at = missing[first]
+        """The table's number of each word and how many ids it has; words that are not kept stand behind those that are, for this block."""
+        h, sizes = block.hashes(starts, ends, key=self.key), ends - starts
+        found = self.slot[(h & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64)
+        known = found >= 0
+        if known.any():
+            known &= (self.hash[found] == h) & (self.byte_size[found] == sizes)
+            known[known] = self._same_bytes(block, starts[known], sizes[known], found[known])
+        missing = np.flatnonzero(~known)
+        if len(missing):
             raw = block.data.tobytes()
-            encoded = self.encode_words([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            base = len(self.keys)
-            self.keys = np.concatenate([self.keys, fresh])
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))])
-            found = found.copy()
-            found[missing] = base + back
-            new = np.arange(base, base + len(fresh))
-            free = (fresh & np.uint64(SLOTS - 1)).astype(np.int64)
-            empty = self.slot[free] < 0
-            self.slot[free[empty]] = new[empty]
-            self.all_ids, self.all_at = self.ids, self.at
-        return found, self.all_at[found + 1] - self.all_at[found]
+            number: dict[bytes, int] = {}
+            firsts = []
+            back = np.empty(len(missing), np.int64)
+            for k, (i, a, b) in enumerate(zip(missing.tolist(), starts[missing].tolist(), ends[missing].tolist(), strict=True)):
+                back[k] = n = number.setdefault(raw[a:b], len(number))
+                if n == len(firsts):
+                    firsts.append(i)
+            found[missing] = self.words + back
+            self._add(h[np.array(firsts)], list(number), len(missing) / len(starts))
+        return found, self.id_size[found]
+
+    def _same_bytes(self, block: Block, starts: np.ndarray, sizes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether words are byte for byte those that their hashes name."""
+        equal = ragged(block.data, starts, sizes) == ragged(self.bytes, self.byte_at[found], sizes)
+        if equal.all():
+            return np.ones(len(starts), bool)
+        return np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)  # no word is empty
+
+    def _add(self, h: np.ndarray, words: list[bytes], share: float) -> None:
+        """Encode words and write them behind those that are kept; keep them if there is room."""
+        encoded = self.encode_words(words)
+        byte_size, id_size = np.fromiter(map(len, words), np.int64, len(words)), np.fromiter(map(len, encoded), np.int64, len(words))
+        n_bytes, n_ids = int(byte_size.sum()), int(id_size.sum())
+        columns = {
+            "hash": (self.words, h), "byte_size": (self.words, byte_size), "id_size": (self.words, id_size),
+            "byte_at": (self.words, self.n_bytes + np.cumsum(byte_size) - byte_size), "id_at": (self.words, self.n_ids + np.cumsum(id_size) - id_size),
+            "bytes": (self.n_bytes, np.frombuffer(b"".join(words), np.uint8)), "ids": (self.n_ids, np.fromiter((i for e in encoded for i in e), np.uint32, n_ids)),
+        }
+        for name, (at, values) in columns.items():
+            self._put(name, at, values)
+        if self.words + len(words) <= KEPT_WORDS and self.n_bytes + n_bytes <= KEPT_BYTES and self.n_ids + n_ids <= KEPT_IDS:
+            place = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+            free = np.flatnonzero(self.slot[place] < 0)
+            self.slot[place[free]] = self.words + free
+            self.words, self.n_bytes, self.n_ids = self.words + len(words), self.n_bytes + n_bytes, self.n_ids + n_ids
+        else:
+            self.stale = share > 0.5  # the texts are others than those that filled the table
 
     def _with_special(self, block: Block, ids: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = []

@@ -1,6 +1,7 @@
 """Near-duplicates by bottom-k sketches, verified exactly.
 
-A document is the set of its distinct word shingles (64-bit hashes). One hash function gives every set a sketch: its ``K`` smallest values.
+A document is the set of its distinct word shingles (64-bit hashes, keyed at random for each call, so texts can't be made to collide). One
+hash function gives every set a sketch: its ``K`` smallest values.
 
 1. Documents of equal sets form a class, stood for by its smallest doc_id; copies go no further.
 2. Inverted lists of the retained values generate candidates. Two sets as similar as asked share at least ``overlap_needed`` of their
@@ -14,8 +15,9 @@ A document is the set of its distinct word shingles (64-bit hashes). One hash fu
    ``BLOCK`` sets, whose intersections are one product of incidence matrices. A block gives one link for each two components. So no link
    between different components goes unseen, and the pairs inside a component are never formed.
 
-Nothing about documents, links or components is collected on the driver; each round is checkpointed in the shared folder. Every hot list is
-only joined (adaptive execution splits it) or reduced with partial aggregation.
+Nothing about documents, links or components is collected on the driver; each round is checkpointed in the shared folder. Lists are only
+joined (adaptive execution splits hot ones) or reduced with partial aggregation; heads, neighbours and labels that hold many rows are joined
+where the rows are (``skew``).
 
 Defined cases: a text that is null or has no words has an empty set and is linked with nothing; fewer words than a shingle make one
 shingle; rows that share a doc_id are linked with each other; a row without doc_id takes no part, has a null component and is kept; other
@@ -32,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emergent.llm.blocks import blocks_of, chained, mix
+from emergent.llm.blocks import FIXED, blocks_of, chained, mix, random_key
+from emergent.llm.skew import hot_keys, join_unique
 from emergent.session import checkpointed, ship
 
 #: Values in a sketch; the chance to miss a link at exactly the threshold; members of a block of comparisons.
@@ -52,9 +55,9 @@ def overlap_needed(share: float, k: int = K, miss: float = MISS) -> int:
     return k
 
 
-def _shingle_sets(block, words: int) -> Iterator[np.ndarray]:
+def _shingle_sets(block, words: int, key: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a block."""
-    h, bounds = block.word_hashes(lower=True), block.word_bounds
+    h, bounds = block.word_hashes(lower=True, key=key), block.word_bounds
     windows = chained([h[i : len(h) - words + 1 + i] for i in range(words)]) if len(h) >= words else h[:0]
     for i in range(block.n):
         a, b = int(bounds[i]), int(bounds[i + 1])
@@ -66,7 +69,7 @@ def _shingle_sets(block, words: int) -> Iterator[np.ndarray]:
             yield h[:0]
 
 
-def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
+def sketches(docs: DataFrame, words: int, key: int = FIXED, k: int = K) -> DataFrame:
     """doc_id, n (set size), two hashes of the set, and the sketch (k values, padded)."""
     ship(docs.sparkSession)
 
@@ -74,7 +77,7 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
         for batch in batches:
             for block in blocks_of(batch.column("text")):
                 sizes, one, two, low = [], [], [], []
-                for s in _shingle_sets(block, words):
+                for s in _shingle_sets(block, words, key):
                     sizes.append(len(s))
                     one.append(s.sum(dtype=np.uint64))
                     two.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -139,10 +142,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, needed: int, num: int, den:
     return full.select("a", "b", "sa", "sb").mapInArrow(passed, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, key: int) -> DataFrame:
     """The pairs whose full sets have den * intersection >= num * union."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    full = _sets(docs, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), words)
+    full = _sets(docs, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), words, key)
     joined = pairs.join(full.withColumnsRenamed({"cid": "b", "own": "sb"}), "b").join(full.withColumnsRenamed({"cid": "a", "own": "sa"}), "a")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,47 +163,49 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
 def components(links: DataFrame) -> DataFrame:
     """(cid, label) of every vertex of the links (a, b): the smallest vertex reachable. Labels move along links and jump to labels."""
     edges = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
+    hubs = checkpointed(hot_keys(edges, "b"))
     labels = checkpointed(edges.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("m")).select("cid", F.least("cid", "m").alias("label")))
     while True:
-        near = edges.join(labels.withColumnsRenamed({"cid": "b"}), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("m"))
-        moved = labels.join(near, "cid").select("cid", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        near = join_unique(edges, labels.withColumnsRenamed({"cid": "b"}), "b", hubs).groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("m"))
+        moved = checkpointed(labels.join(near, "cid").select("cid", F.col("label").alias("was"), F.least("label", "m").alias("label")))
         target = labels.select(F.col("cid").alias("label"), F.col("label").alias("onward"))
-        jumped = checkpointed(moved.join(target, "label").select("cid", "was", F.least("label", "onward").alias("label")))
+        onward = join_unique(moved, target, "label", hot_keys(moved, "label"))
+        jumped = checkpointed(onward.select("cid", "was", F.least("label", "onward").alias("label")))
         labels = jumped.select("cid", "label")
         if jumped.where("label <> was").isEmpty():
             return labels
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, key: int) -> DataFrame:
     """(cid, own): the whole sets of the wanted documents (column cid), as sorted 64-bit values."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks_of(batch.column("text")):
-                own = [s.tobytes() for s in _shingle_sets(block, words)]
+                own = [s.tobytes() for s in _shingle_sets(block, words, key)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n), pa.array(own, pa.binary())], ["cid", "own"])
 
     return docs.select("doc_id", "text").join(wanted.withColumnRenamed("cid", "doc_id"), "doc_id", "left_semi").mapInArrow(sets, f"cid {kind}, own binary")
 
 
-def _across(groups: DataFrame, labels: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _across(groups: DataFrame, labels: DataFrame, docs: DataFrame, words: int, num: int, den: int, key: int) -> DataFrame:
     """Links (a, b) between components within groups (head, cid, n): one for each two components that a block finds linked."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    labelled = groups.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    labelled = checkpointed(groups.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")))
     parts = labelled.groupBy("head", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     top = F.max(F.struct("c", "w", "label")).alias("top")
     whole = parts.groupBy("head").agg(F.sum("c").alias("m"), F.sum("w").alias("mw"), top, F.count(F.lit(1)).alias("labels")).where("labels > 1")
     chunks = lambda count, weight: F.greatest(F.ceil(count / BLOCK), F.ceil(weight / BLOCK_VALUES)).cast("int")
     outside, every = chunks(F.col("m") - F.col("top.c"), F.col("mw") - F.col("top.w")), chunks(F.col("m"), F.col("mw"))
     open_groups = whole.select("head", F.col("top.label").alias("main"), outside.alias("ni"), every.alias("nj"))
-    member = labelled.join(open_groups, "head")
+    member = join_unique(labelled, open_groups, "head", hot_keys(labelled, "head"))
     chunk = lambda count: F.pmod(F.xxhash64("cid"), F.col(count)).cast("int")
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = member.where("label <> main").select("head", "cid", "label", F.lit(True).alias("side"), chunk("ni").alias("i"), spread("nj").alias("j"))
     right = member.select("head", "cid", "label", F.lit(False).alias("side"), spread("ni").alias("i"), chunk("nj").alias("j"))
     rows = checkpointed(left.unionByName(right))
-    full = rows.join(_sets(docs, rows.select("cid").distinct(), words), "cid")
+    full = rows.join(_sets(docs, rows.select("cid").distinct(), words, key), "cid")
     keys = ["head", "i", "j"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,20 +271,20 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; documents with den * intersection >= num * union are linked."""
-    needed = overlap_needed(num / den)
+    needed, key = overlap_needed(num / den), random_key()
     docs = docs.select("doc_id", "text")
-    made = checkpointed(sketches(docs, words))
+    made = checkpointed(sketches(docs, words, key))
     usable = made.where("n > 0 and doc_id is not null")
     classes = checkpointed(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cid"), F.first("sketch").alias("sketch")))
     lists = checkpointed(_lists(classes.select("cid", "n", "sketch"), needed, num, den))
-    first_known = F.max(F.struct("known", (-F.col("cid")).alias("first"), "cid", "n")).alias("top")
+    first_known = F.min(F.struct((-F.col("known")).alias("known"), "cid", "n")).alias("top")
     heads = lists.groupBy("v").agg(first_known, F.count(F.lit(1)).alias("m")).where("m > 1").select("v", F.col("top.cid").alias("head"), F.col("top.n").alias("head_n"))
     groups = checkpointed(lists.join(heads, "v").select("head", "head_n", "cid", "n").distinct())
     near_size = (F.col("n") * den >= F.col("head_n") * num) & (F.col("head_n") * den >= F.col("n") * num)
     stars = groups.where("cid <> head").where(near_size).select(F.col("head").alias("a"), F.col("cid").alias("b"))
-    first = checkpointed(_verified(checkpointed(_estimated(stars, classes, needed, num, den)), docs, words, num, den))
+    first = checkpointed(_verified(checkpointed(_estimated(stars, classes, needed, num, den)), docs, words, num, den, key))
     labels = components(first)
-    second = checkpointed(_across(groups.select("head", "cid", "n"), labels, docs, words, num, den))
+    second = checkpointed(_across(groups.select("head", "cid", "n"), labels, docs, words, num, den, key))
     if not second.isEmpty():
         labels = components(first.union(second))
     keyed = classes.join(labels, "cid", "left").select("n", "h1", "h2", F.coalesce("label", "cid").alias("component_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emergent.llm import learn
-from emergent.llm.blocks import Block, blocks_of, chained, counts_between, mix
+from emergent.llm.blocks import Block, blocks_of, chained, counts_between, mix, random_key
 from emergent.session import ship
 
 WORD_DIMS, BYTE_DIMS = 1024, 2048
@@ -28,6 +28,8 @@ MIN_WORDS, MAX_REPEATED = 50, 0.5
 KEEP_AT = 0.5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+#: Each process hashes with its own key where equal hashes mean equal words or lines, so texts can't be made to collide.
+_key = random_key()
 STAT_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -59,12 +61,12 @@ def block_stats(block: Block) -> dict[str, np.ndarray]:
         "word_chars": counts_between(block.starts_of_chars() & ~block.white, block.starts, block.ends),
         "n_symbols": counts_between(SYMBOLS[block.data], block.starts, block.ends),
     }
-    h = block.word_hashes()
+    h = block.word_hashes(key=_key)
     out["n_repeat_words"] = np.array([_repeated_words(h[bounds[i] : bounds[i + 1]]) for i in range(block.n)], np.int64)
     line_starts, line_ends = block.runs(block.data != 10)  # an empty line has no word
     full = counts_between(~block.white, line_starts, line_ends) > 0
     line_starts, line_ends = line_starts[full], line_ends[full]
-    keys = chained([block.hashes(line_starts, line_ends), block.doc_of(line_starts).astype(np.uint64)])
+    keys = chained([block.hashes(line_starts, line_ends, key=_key), block.doc_of(line_starts).astype(np.uint64)])
     first = np.unique(keys, return_index=True)[1]
     again = np.ones(len(keys), bool)
     again[first] = False

@@ -1,0 +1,26 @@
+"""Joins on keys that may be hot: one key may hold a third of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: A key is hot if it holds more than this part of the rows; so there are fewer hot keys than its inverse, whatever the input is.
+HOT = 1 / 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys (column ``key``) that hold more than HOT of the rows; fewer than 1 / HOT. rows should be checkpointed, as they are counted."""
+    least = int(rows.count() * HOT)
+    return rows.groupBy(key).count().where(F.col("count") > max(least, 1)).select(key)
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined with a table that has each key once at most. Rows of hot keys stay where they are: the table's few rows for them travel."""
+    few = unique.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(hot), key, "left_anti").join(unique, key).unionByName(rows.join(F.broadcast(few), key))
+
+
+def spread(column: Column, parts: int) -> Column:
+    """A number below parts for each value."""
+    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from helpers import unlike_twins
 
 from emergent.llm import langid, quality, toxicity
 
@@ -33,6 +34,8 @@ def test_quality(spark):
     good = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "the", "of"]) + r.choice("abc") for _ in range(80)) for _ in range(150)]
     bad = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "the", "of", "on", "in", "at"]) + r.choice(["%%%", "###", "$$$"]) for _ in range(80)) for _ in range(150)]
     docs = [(i, t) for i, t in enumerate(good + bad)] + EDGE + [(100_010, "é a\né a\nb c d\nb c d b c d")]
+    a, b = unlike_twins(2048)
+    docs += [(100_011, f"{a}\n{b}\n{a} x y {b} x y {a} x y")]
     frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, n_words string")
     labels = spark.createDataFrame([(i, int(i < 150), None) for i in range(300) if i % 3], "doc_id long, quality long, toxic long")
     model = quality.fit(frame, labels)

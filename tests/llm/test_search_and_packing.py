@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from helpers import unlike_twins
+
 from emergent.llm import bpe, packing, topk
 
 TEXTS = [
