@@ -19,12 +19,21 @@ class CuckooFilter:
         self.table = np.zeros((self.buckets, SLOTS_PER_BUCKET), np.uint16)
         self.spill: set[int] = set()  # keys that found no slot; kept exactly
 
+    @classmethod
+    def for_keys(cls, n: int) -> CuckooFilter:
+        """An empty filter that takes n keys and a few more."""
+        return cls(int(n / (SLOTS_PER_BUCKET * 0.8)) + 1)
+
     @classmethod
     def of(cls, keys: np.ndarray) -> CuckooFilter:
-        one = cls(int(len(keys) / (SLOTS_PER_BUCKET * 0.8)) + 1)
+        one = cls.for_keys(len(keys))
         one.insert(keys)
         return one
 
+    def full(self) -> bool:
+        """Whether so many keys found no slot that a larger filter is due."""
+        return len(self.spill) > self.table.size // 64
+
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = mix(keys.astype(np.uint64))
         prints = ((h >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)

@@ -1,27 +1,28 @@
-"""Reversible line dedup: exact reference tables, and sharded cuckoo filters in front of them.
+"""Reversible line dedup: exact reference-count tables, and sharded cuckoo filters in front of them.
 
-A line's key is the line without white space at its ends, A-Z lower-cased. ``LineIndex.refs`` is the exact table: a row for each document
-and distinct key of at least ``MIN_CHARS`` code points (128-bit hash of the key). Its counts give the keys that two or more documents hold,
-and each key's first document. Cuckoo filters, one for each shard of the key space, hold the keys with two or more references, so a pass
-over the texts sends only lines that may repeat to the exact table, which decides.
+A line's key is the line without white space at its ends, A-Z lower-cased, as its 128-bit BLAKE2b digest. Three tables make an index:
+``refs``, a row for each document and distinct key of at least ``MIN_CHARS`` code points; ``counts``, how many references each key has and its
+first document; ``filters``, a cuckoo filter for each shard of the key space with the keys of two references or more.
 
-``insert`` adds documents, ``delete`` takes documents away again. Both rebuild the index: the reference table is grouped again and every
-filter made anew, whatever the size of the change, as no reference counts are kept between changes. After any sequence of them, ``strip``
-gives what a fresh index over the remaining documents would give.
+``insert`` adds the references that are new to the counts, ``delete`` takes references back. Keys that thereby come to two references are
+inserted into their shard's filter and those that fall below are deleted from it; the filters of all other shards stay byte for byte. A
+filter that has run full is made anew, larger, from the counts of its shard; all are once the keys outgrow the number of shards fourfold.
+After any sequence of changes ``strip`` gives what a fresh index over the remaining documents would give.
 
-Scale: the pass emits a line's key only where a filter has it; filters travel to executors only while they are below
-``FILTER_BYTES`` together, and beyond that all keys join the exact table by a shuffle. Counting combines within each task before the
-shuffle, so a line that a third of all documents share is no hot key; the joins are plain joins that adaptive execution can split.
+Scale: lines meet their shard's filter in one shuffle of digests, salted by document, so a line that a third of all documents share spreads
+over ``SALTS`` groups, and a task streams its groups with one filter in memory. Survivors join the counts, which decide, by a plain join that
+adaptive execution can split. Counting combines within each task before its shuffle. Filters never reach the driver.
 
 Defined cases: a null or empty text is one empty line and stays; a document that loses every line has an empty text; rows that share a
 doc_id count as one document, and each is stripped alike; rows without doc_id are never stripped and strip nothing; other columns are
-carried along by ``strip``.
+carried along by ``strip``, and those named ``n_lines`` or ``n_dropped`` (in any case) give way to its counts unless ``counts`` is False.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -29,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emergent.llm.blocks import WHITE, Block, blocks_of, chained
+from emergent.llm.blocks import LOWER, WHITE, Block, blocks_of, release_memory
 from emergent.llm.cuckoo import CuckooFilter
 from emergent.session import checkpointed, ship
 
 MIN_CHARS = 10
-#: Keys that one shard's filter is sized for, and the bytes up to which filters are broadcast.
-SHARD_KEYS, FILTER_BYTES = 50_000, 32 << 20
+#: Keys that one shard's filter is sized for at first, and the groups that a shard's lines are dealt to.
+SHARD_KEYS, SALTS = 50_000, 8
+KEYS = ["h1", "h2"]
 
 
 def _lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,8 +54,8 @@ def _lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, doc
 
 
-def _keys(block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit halves of each line's key, and whether it is long enough to count."""
+def _spans(block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each line's key begins and ends, and whether it is long enough to count."""
     solid = ~WHITE[block.data]
     at = np.zeros(len(solid) + 1, np.int64)
     np.cumsum(solid, out=at[1:])
@@ -65,114 +67,169 @@ def _keys(block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     after[full] = where[high[full] - 1] + 1
     chars = np.zeros(len(solid) + 1, np.int64)
     np.cumsum(block.starts_of_chars(), out=chars[1:])
-    h1 = block.hashes(first, after, lower=True)
-    # The second half hashes the key's two parts in turn, so that it doesn't follow from the first.
-    middle = (first + after) // 2
-    h2 = chained([block.hashes(first, middle, lower=True), block.hashes(middle, after, lower=True)])
-    return h1, h2, full & (chars[after] - chars[first] >= MIN_CHARS)
+    return first, after, full & (chars[after] - chars[first] >= MIN_CHARS)
+
+
+def _digests(block: Block, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The digest of each key, as two signed halves."""
+    found = []
+    for a, b in zip(first.tolist(), after.tolist(), strict=True):
+        found.append(blake2b(LOWER[block.data[a:b]].data, digest_size=16).digest())
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """A row (h1, h2, doc_id) for each document and distinct long key in it."""
+    """A row (h1, h2, doc_id) for each row of docs and distinct long key in it."""
     ship(docs.sparkSession)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks_of(batch.column("text")):
                 starts, ends, doc = _lines(block)
-                h1, h2, long = _keys(block, starts, ends)
-                rows = np.unique(np.rec.fromarrays([doc[long], h1[long].view(np.int64), h2[long].view(np.int64)], names="d,a,b"))
+                first, after, long = _spans(block, starts, ends)
+                keys = _digests(block, first[long], after[long])
+                rows = np.unique(np.rec.fromarrays([doc[long], keys[:, 0], keys[:, 1]], names="d,a,b"))
                 owner = batch.column("doc_id").slice(block.first, block.n).take(pa.array(rows["d"]))
-                yield pa.RecordBatch.from_arrays([pa.array(rows["a"].copy()), pa.array(rows["b"].copy()), owner], ["h1", "h2", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows["a"].copy()), pa.array(rows["b"].copy()), owner], [*KEYS, "doc_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(listed, f"h1 long, h2 long, doc_id {kind}")
 
 
-def _repeated(refs: DataFrame) -> DataFrame:
-    """Keys held by two documents or more, with the first of them."""
-    counts = refs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return counts.where("first_doc <> last_doc").drop("last_doc")
+@dataclass(frozen=True)
+class LineIndex:
+    """refs (h1, h2, doc_id) and counts (h1, h2, n, first_doc) are exact; filters has a row (shard, filter) for each shard that has keys."""
 
+    refs: DataFrame
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
 
-def _filters(repeated: DataFrame, shards: int) -> DataFrame:
-    """A row (shard, filter) for each shard that has keys."""
+    def repeated(self) -> DataFrame:
+        return self.counts.where("n >= 2").select(*KEYS, "first_doc")
 
-    def built(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(frame["h1"].to_numpy().view(np.uint64))
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "filter": [CuckooFilter.of(keys).to_bytes()]})
 
-    sharded = repeated.select("h1", F.pmod("h1", F.lit(shards)).cast("int").alias("shard"))
-    return sharded.groupBy("shard").applyInPandas(built, "shard int, filter binary")
+def _shard(shards: int):
+    return F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
 
 
-@dataclass(frozen=True)
-class LineIndex:
-    """refs is exact; repeated (h1, h2, first_doc) follows from it; filters is None where they are too large to send."""
+def _edited(filters: DataFrame, crossing: DataFrame) -> DataFrame:
+    """(shard, filter, full): filters after the crossing keys (shard, h1, come) came or went; shards without any stay as they are."""
 
-    refs: DataFrame
-    repeated: DataFrame
-    shards: int
-    filters: dict[int, bytes] | None
+    def edit(crossed: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        shard = int((crossed if len(crossed) else own)["shard"].iloc[0])
+        if not len(crossed):
+            return pd.DataFrame({"shard": [shard], "filter": [own["filter"].iloc[0]], "full": [False]})
+        keys, come = crossed["h1"].to_numpy(np.int64).view(np.uint64), crossed["come"].to_numpy(bool)
+        one = CuckooFilter.from_bytes(own["filter"].iloc[0]) if len(own) else CuckooFilter.for_keys(len(keys))
+        one.delete(keys[~come])
+        one.insert(keys[come])
+        return pd.DataFrame({"shard": [shard], "filter": [one.to_bytes()], "full": [one.full()]})
 
+    return crossing.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(edit, "shard int, filter binary, full boolean")
 
-def build(refs: DataFrame) -> LineIndex:
-    """An index over reference rows; counts, first documents and filters are worked out once and kept in the shared folder."""
-    repeated = checkpointed(_repeated(refs))
-    n = repeated.count()
-    shards = max(16, -(-n // SHARD_KEYS))
-    filters = None
-    if n * 4 <= FILTER_BYTES:  # two bytes a slot, at a load that rounding up to a power of two can halve
-        filters = {r["shard"]: bytes(r["filter"]) for r in _filters(repeated, shards).collect()}
-    return LineIndex(refs, repeated, shards, filters)
+
+def _built(counts: DataFrame, shards: int) -> DataFrame:
+    """Filters over the repeated keys of counts, from nothing."""
+    none = counts.sparkSession.createDataFrame([], "shard int, filter binary")
+    return _edited(none, counts.where("n >= 2").select(_shard(shards), "h1", F.lit(True).alias("come"))).drop("full")
+
+
+def _indexed(refs: DataFrame, merged: DataFrame, before: LineIndex | None) -> LineIndex:
+    """The index after a change; merged is (h1, h2, was, n, first_doc) of every key, those without references left included."""
+    merged = checkpointed(merged)
+    counts = merged.where("n > 0").select(*KEYS, "n", "first_doc")
+    total = counts.where("n >= 2").count()
+    if before is None or total > 4 * SHARD_KEYS * before.shards:
+        shards = max(16, -(-total // SHARD_KEYS))
+        return LineIndex(refs, counts, checkpointed(_built(counts, shards)), shards)
+    crossing = merged.where("(was >= 2) <> (n >= 2)").select(_shard(before.shards), "h1", (F.col("n") >= 2).alias("come"))
+    edited = checkpointed(_edited(before.filters, crossing))
+    full = [r["shard"] for r in edited.where("full").select("shard").collect()]  # a few numbers of shards
+    filters = edited.drop("full")
+    if full:
+        again = _built(counts.where(_shard(before.shards).isin(full)), before.shards)
+        filters = checkpointed(filters.where(~F.col("shard").isin(full)).unionByName(again))
+    return LineIndex(refs, counts, filters, before.shards)
 
 
 def insert(index: LineIndex | None, docs: DataFrame) -> LineIndex:
     """The index with documents added; inserting a document again changes nothing."""
-    fresh = references(docs)
-    return build(fresh if index is None else checkpointed(index.refs.unionByName(fresh).distinct()))
+    fresh = references(docs).distinct()
+    if index is not None:
+        fresh = fresh.join(index.refs, [*KEYS, "doc_id"], "left_anti")
+    fresh = checkpointed(fresh)
+    come = fresh.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    if index is None:
+        return _indexed(fresh, come.select(*KEYS, F.lit(0).cast("long").alias("was"), "n", "first_doc"), None)
+    both = index.counts.withColumnsRenamed({"n": "was", "first_doc": "_first"}).join(come, KEYS, "full")
+    was = F.coalesce("was", F.lit(0))
+    merged = both.select(*KEYS, was.alias("was"), (was + F.coalesce("n", F.lit(0))).alias("n"), F.least("_first", "first_doc").alias("first_doc"))
+    return _indexed(checkpointed(index.refs.unionByName(fresh)), merged, index)
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """The index without the documents of doc_ids (column doc_id): their references are taken back."""
-    return build(checkpointed(index.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")))
+    ids = doc_ids.select("doc_id").distinct()
+    gone = index.refs.join(ids, "doc_id", "left_semi").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_gone"))
+    gone = checkpointed(gone)
+    left = checkpointed(index.refs.join(ids, "doc_id", "left_anti"))
+    first = left.join(gone, KEYS, "left_semi").groupBy(*KEYS).agg(F.min("doc_id").alias("_first"))
+    both = index.counts.join(gone, KEYS, "left").join(first, KEYS, "left")
+    first_doc = F.when(F.col("_gone").isNull(), F.col("first_doc")).otherwise(F.col("_first"))
+    merged = both.select(*KEYS, F.col("n").alias("was"), (F.col("n") - F.coalesce("_gone", F.lit(0))).alias("n"), first_doc.alias("first_doc"))
+    return _indexed(left, merged, index)
 
 
 def _candidates(index: LineIndex, docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id) of lines that the filters may hold; all long lines where there are no filters."""
-    if index.filters is None:
-        return references(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(index.filters)
-    shards = index.shards
+    """(h1, h2, doc_id) of lines that their shard's filter may hold."""
+    refs = references(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    lines = refs.select(_shard(index.shards), salt.alias("salt"), *KEYS, "doc_id", F.lit(None).cast("binary").alias("filter"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    none = [F.lit(None).cast("long").alias(k) for k in KEYS]
+    filters = index.filters.select("shard", salts.alias("salt"), *none, F.lit(None).cast(kind).alias("doc_id"), "filter")
+    groups = ["shard", "salt"]
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {k: CuckooFilter.from_bytes(v) for k, v in shared.value.items()}
+        """Each group's filter comes before its lines; a group without a filter has no repeated line."""
+        group, one = None, None
         for batch in batches:
-            h1 = batch.column("h1").to_numpy()
-            shard = h1 % shards
-            keep = np.zeros(len(h1), bool)
-            for k, f in filters.items():
-                own = np.flatnonzero(shard == k)
-                if len(own):
-                    keep[own] = f.contains(h1[own].view(np.uint64))
-            yield batch.filter(pa.array(keep))
-
-    refs = references(docs)
-    return refs.mapInArrow(probed, refs.schema)
-
-
-def strip(index: LineIndex, docs: DataFrame) -> DataFrame:
-    """docs with every repeated line dropped but in its first document, and n_lines and n_dropped."""
+            at = np.column_stack([batch.column(k).to_numpy() for k in groups])
+            h1, made = batch.column("h1"), batch.column("filter")
+            low = 0
+            while low < len(at):
+                if group != (here := tuple(at[low])):
+                    group, one = here, None
+                same = (at[low:] == at[low]).all(axis=1)
+                high = low + (int(np.argmin(same)) if not same.all() else len(same))
+                if made[low].is_valid:
+                    one, low = CuckooFilter.from_bytes(made[low].as_buffer()), low + 1
+                if one is not None and high > low:
+                    hit = one.contains(h1.slice(low, high - low).to_numpy().view(np.uint64))
+                    yield batch.slice(low, high - low).select([*KEYS, "doc_id"]).filter(pa.array(hit))
+                low = max(high, low)
+        release_memory()
+
+    rows = lines.unionByName(filters).repartition(*groups).sortWithinPartitions(*groups, F.col("filter").isNull())
+    return rows.mapInArrow(probed, f"h1 long, h2 long, doc_id {kind}")
+
+
+def strip(index: LineIndex, docs: DataFrame, counts: bool = True) -> DataFrame:
+    """docs with every repeated line dropped but in its first document, and with ``counts`` n_lines and n_dropped."""
     ship(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    later = _candidates(index, docs).join(index.repeated, ["h1", "h2"]).where("doc_id <> first_doc")
-    dropped = later.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))  # as many as the document has lines
-    both = docs.join(dropped, "doc_id", "left")
-    names = docs.columns
+    later = _candidates(index, docs).join(index.repeated(), KEYS).where("doc_id <> first_doc")
+    drop = "_drop"
+    while drop in {c.lower() for c in docs.columns}:
+        drop += "_"
+    dropped = later.groupBy("doc_id").agg(F.collect_set(F.struct(*KEYS)).alias(drop))  # as many as the document has lines
+    names = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
+    both = docs.join(dropped, "doc_id", "left").select(*(f"`{n}`" for n in names), drop)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drops = batch.column("_drop")
+            drops = batch.column(drop)
             texts = batch.column("text")
             valid = texts.is_valid().to_pylist()
             out: list[str | None] = []
@@ -185,13 +242,14 @@ def strip(index: LineIndex, docs: DataFrame) -> DataFrame:
                 own = drops.slice(block.first, block.n)
                 hit = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
                 if len(hit):
-                    h1, h2, long = _keys(block, starts, ends)
+                    first, after, long = _spans(block, starts, ends)
                     edges = np.searchsorted(doc, np.arange(block.n + 1))
                     for i in hit:
                         pairs = own[int(i)].values
-                        some = slice(edges[i], edges[i + 1])
                         keys = set(zip(pairs.field("h1").to_pylist(), pairs.field("h2").to_pylist(), strict=True))
-                        mark = np.array([k in keys for k in zip(h1[some].view(np.int64).tolist(), h2[some].view(np.int64).tolist(), strict=True)], bool) & long[some]
+                        some = np.flatnonzero(long[edges[i] : edges[i + 1]]) + edges[i]
+                        mark = np.zeros(edges[i + 1] - edges[i], bool)
+                        mark[some - edges[i]] = [(a, b) in keys for a, b in _digests(block, first[some], after[some]).tolist()]
                         lost[i] = mark.sum()
                         gone[int(i)] = np.flatnonzero(~mark) + edges[i]
                 losses.append(lost)
@@ -200,12 +258,13 @@ def strip(index: LineIndex, docs: DataFrame) -> DataFrame:
                         out.append(b"\n".join(block.data[starts[k] : ends[k]].tobytes() for k in gone[i]).decode("utf-8", "replace"))
                     else:
                         out.append(block.text(i) if valid[block.first + i] else None)
-            columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
-            counts = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (totals, losses)]
-            yield pa.RecordBatch.from_arrays([*columns, *counts], [*names, "n_lines", "n_dropped"])
+            columns = [pa.array(out, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(names)]
+            if counts:
+                columns += [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (totals, losses)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *["n_lines", "n_dropped"][: 2 * counts]])
 
-    fields = ", ".join(f"`{f.name}` {kind if f.name == 'doc_id' else f.dataType.simpleString()}" for f in docs.schema)
-    return both.select(*names, "_drop").mapInArrow(cleaned, f"{fields}, n_lines long, n_dropped long")
+    fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return both.mapInArrow(cleaned, fields + ", n_lines long, n_dropped long" * counts)
 
 
 def digest(stripped: DataFrame) -> DataFrame:

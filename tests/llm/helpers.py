@@ -48,3 +48,9 @@ def strip_lines(docs):
         kept = [x for x in lines if not (len(key(x)) >= 10 and len(holders[key(x)]) > 1 and d != min(holders[key(x)]))]
         out[d] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
+
+
+def unlike_twins(size):
+    """Two strings of letters, complements in the Thue-Morse order, that every polynomial hash modulo 2**64 confuses from 1024 bytes on."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

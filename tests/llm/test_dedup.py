@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import components, strip_lines
+from helpers import components, strip_lines, unlike_twins
 
 from emergent.llm import lines, minhash
 from emergent.llm.cuckoo import CuckooFilter
@@ -90,11 +90,65 @@ def test_line_dedup_is_reversible(spark):
     assert stripped(back, frame(spark, LINES)) == strip_lines(LINES)
 
 
-def test_line_dedup_without_filters(monkeypatch, spark):
-    monkeypatch.setattr(lines, "FILTER_BYTES", -1)
-    docs = frame(spark, LINES)
+def filter_bytes(index):
+    return {r["shard"]: bytes(r["filter"]) for r in index.filters.collect()}
+
+
+def test_line_changes_edit_only_the_filters_of_crossing_keys(spark):
+    docs = [(d, "\n".join(f"a line of family {f}" for f in range(40) if f % 5 != d)) for d in range(5)]
+    index = lines.insert(None, frame(spark, docs))
+    assert index.counts.count() == 40 and {r["n"] for r in index.counts.collect()} == {4}
+    more = lines.insert(index, frame(spark, [(9, "a line met once\na line of family 1")]))
+    assert filter_bytes(more) == filter_bytes(index)  # one key is new, one has more references: none crosses
+    crossed = lines.insert(more, frame(spark, [(8, "A LINE met once ")]))
+    changed = {k for k, v in filter_bytes(crossed).items() if v != filter_bytes(index).get(k)}
+    assert len(changed) == 1
+    back = lines.delete(crossed, spark.createDataFrame([(8,)], "doc_id long"))
+    assert {k for k, v in filter_bytes(back).items() if v != filter_bytes(crossed).get(k)} == changed
+    assert {(r["n"], r["first_doc"]) for r in back.counts.where("n <> 4").collect()} == {(1, 9), (5, 0 if 1 % 5 != 0 else 1)}
+
+
+def test_line_filters_grow(monkeypatch, spark):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 5)
+    make = lambda low, high: [(d, "\n".join(f"line number {k} of all" for k in range(low, high))) for d in (low, low + 1)]
+    docs = make(0, 20)
+    index = lines.insert(None, frame(spark, docs))
+    for low, high in ((100, 350), (1000, 2000)):  # first fuller filters, then more shards
+        index = lines.insert(index, frame(spark, make(low, high)))
+        docs += make(low, high)
+        assert stripped(index, frame(spark, docs)) == strip_lines(docs)
+    assert index.shards > 16
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the very same line", 5, "x"), (2, "the very same line", 6, "y")], "doc_id long, text string, N_lines long, _drop string")
     index = lines.insert(None, docs)
-    assert index.filters is None and stripped(index, docs) == strip_lines(LINES)
+    out = lines.strip(index, docs)
+    assert out.columns == ["doc_id", "text", "_drop", "n_lines", "n_dropped"] and {(r["doc_id"], r["_drop"], r["n_dropped"]) for r in out.collect()} == {(1, "x", 0), (2, "y", 1)}
+    assert lines.strip(index, docs, counts=False).columns == docs.columns
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_twins_of_a_weak_hash_stay_apart(spark, size):
+    a, b = unlike_twins(size)
+    docs = [(1, f"{a}\nsome other words here"), (2, f"{b}\nand more of them too"), (3, f"{a}\n{b}\nlast")]
+    assert stripped(lines.insert(None, frame(spark, docs)), frame(spark, docs)) == strip_lines(docs)
+    words = [(1, a), (2, b), (3, a)]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, words), 3, 85, 100).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_duplicates_with_text_ids(spark):
+    rows = spark.createDataFrame([("b", "one two three four five"), ("a", "one two three four five"), ("c", "else")], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(rows).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_hot_hubs_and_labels(monkeypatch, spark):
+    """Joins of hot keys give what plain joins give."""
+    monkeypatch.setattr("emergent.llm.skew.HOT", 0.05)
+    links = [(0, k) for k in range(1, 60)] + [(k, k + 100) for k in range(1, 30)] + [(500, 501), (501, 502)]
+    found = {r["cid"]: r["label"] for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {v: 0 if v < 500 else 500 for pair in links for v in pair}
 
 
 def test_cuckoo_filter():
