@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document holds; n_chars follows the text."""
-    stripped = lines.strip(lines.insert(None, docs), docs)
+    stripped = lines.strip(lines.insert(None, docs), docs, counts=False)
     return stripped.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
