@@ -1,14 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Texts become sequences of token classes: insults (with a weight learnt from labelled rows), threats, targets, negations, reported speech
-and other words. Weighted transducers read them from clause to clause: one raises an insult near a target and lets a threat count only near
-one, one lowers what follows a negation, one lowers what follows a verb of reported speech. A pass from the clause's end first marks the
-insults that a target follows, so targets act on both sides. The transducers are composed into one machine, whose weight of a clause is the
-sum of what it emits. Logistic regression turns a text's strongest clause and its total into a calibrated probability.
+and other words. A clause goes through weighted transducers, each of which reads what the one before writes: a pass from the clause's end
+marks the insults that a target follows; the next marks those that follow a target, and threats near one; then negations soften what they
+reach, reported speech softens what it quotes, and the last machine weighs what a clause has matched. A threat matches only with a target;
+an insult without one is a pattern of its own, of weight ``BARE``. The transducers are composed into one machine, whose weight of a clause
+is the sum of what it writes. Logistic regression turns a text's strongest clause and its total into a calibrated probability.
 
-A departure from matching clauses rather than isolated words: an insult with no target in its clause counts with its full learnt weight, and
-the transducers only scale it, because labels may follow single words and an insult without a target would else be lost. Threats and all
-other words alone have no score.
+A departure from matching clauses rather than isolated words: with ``BARE`` above 0 an insult with no target in its clause counts, because
+labels may follow single words wherever they stand; ``fit(..., bare=0.0)`` gives the strict grammar (the README has figures of both). Threats
+and all other words alone have no score.
 
 Insults are learnt from at most ``rows`` labelled documents, chosen by a hash of doc_id, none of them held out: whole words and word
 beginnings of 4 and 5 letters, kept where toxic documents hold them far more often than others (equal texts count once).
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,12 @@ from emergent.llm.blocks import Block, blocks_of, hash_of
 from emergent.llm.langid import _letter
 from emergent.session import ship
 
-#: Labelled documents learnt from at most, terms kept at most, and the least log-odds and documents of a term.
-ROWS, TERMS, LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 12_000, 4_000, 2.5, 4, 0.01
-SYMBOLS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED = range(7)  # AIMED: an insult that a target follows
+#: Labelled documents learnt from at most, and the least log-odds, documents and share of toxic documents of a term.
+ROWS, LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 12_000, 2.5, 4, 0.01
+#: The part of its weight that an insult without a target has.
+BARE = 0.8
+#: AIMED is an insult near a target, MENACE a threat near one.
+SYMBOLS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED, MENACE = range(8)
 PREFIXES = (4, 5)
 
 # Function words of the grammar.
@@ -50,30 +55,37 @@ _breaks[list(b".!?;:,\n()")] = True
 
 @dataclass(frozen=True)
 class Transducer:
-    """moves[(state, symbol)] is (next state, factor, bonus); a missing move keeps the state with factor 1 and bonus 0."""
+    """moves[(state, symbol)] is (next state, symbol written, factor, bonus); a missing move keeps state and symbol, factor 1 and bonus 0."""
 
-    moves: dict[tuple[int, int], tuple[int, float, float]]
+    moves: dict[tuple[int, int], tuple[int, int, float, float]]
 
-    def step(self, state: int, symbol: int) -> tuple[int, float, float]:
-        return self.moves.get((state, symbol), (state, 1.0, 0.0))
+    def step(self, state: int, symbol: int) -> tuple[int, int, float, float]:
+        return self.moves.get((state, symbol), (state, symbol, 1.0, 0.0))
 
 
-def _fading(trigger: int, reach: int, effect: dict[int, tuple[float, float]]) -> Transducer:
-    """After the trigger, the effect (symbol to factor and bonus) holds for ``reach`` tokens."""
-    moves: dict[tuple[int, int], tuple[int, float, float]] = {(0, trigger): (reach, 1.0, 0.0)}
+def _fading(trigger: int, reach: int, effect: dict[int, tuple[int, float, float]]) -> Transducer:
+    """After the trigger, the effect (symbol to symbol written, factor and bonus) holds for ``reach`` tokens."""
+    moves = {(0, trigger): (reach, trigger, 1.0, 0.0)}
     for left in range(1, reach + 1):
         for symbol in SYMBOLS:
-            factor, bonus = effect.get(symbol, (1.0, 0.0))
-            moves[left, symbol] = (reach if symbol == trigger else left - 1, factor, bonus)
+            moves[left, symbol] = (reach if symbol == trigger else left - 1, *effect.get(symbol, (symbol, 1.0, 0.0)))
     return Transducer(moves)
 
 
+def _softened(trigger: int, reach: int, insult: float, threat: float) -> Transducer:
+    return _fading(trigger, reach, {INSULT: (INSULT, insult, 0.0), AIMED: (AIMED, insult, 0.0), MENACE: (MENACE, threat, 0.0)})
+
+
 REACH = 6
-TOWARDS = _fading(TARGET, REACH, {INSULT: (1.25, 0.0), AIMED: (1.25, 0.0), THREAT: (1.0, 4.0)})
-TOWARDS.moves[0, AIMED] = (0, 1.25, 0.0)
-NEGATED = _fading(NEGATION, 3, {INSULT: (0.6, 0.0), AIMED: (0.6, 0.0), THREAT: (0.3, 0.0)})
-REPORTED = _fading(REPORT, 8, {INSULT: (0.7, 0.0), AIMED: (0.7, 0.0), THREAT: (0.4, 0.0)})
-THREATENING = _fading(THREAT, 4, {TARGET: (1.0, 4.0)})
+TOWARDS = _fading(TARGET, REACH, {INSULT: (AIMED, 1.0, 0.0), THREAT: (MENACE, 1.0, 0.0)})
+THREATENING = _fading(THREAT, 4, {TARGET: (MENACE, 1.0, 0.0)})
+NEGATED = _softened(NEGATION, 3, 0.6, 0.3)
+REPORTED = _softened(REPORT, 8, 0.7, 0.4)
+
+
+def _weighing(bare: float) -> Transducer:
+    """The last machine: what a matched pattern weighs."""
+    return Transducer({(0, INSULT): (0, INSULT, bare, 0.0), (0, AIMED): (0, AIMED, 1.25, 0.0), (0, MENACE): (0, MENACE, 1.0, 4.0)})
 
 
 def _aimed(symbols: list[int]) -> list[int]:
@@ -87,7 +99,7 @@ def _aimed(symbols: list[int]) -> list[int]:
 
 
 class Composition:
-    """The product of transducers, built as its states are met; bonuses add up first, then factors multiply them and the token's weight."""
+    """Transducers composed, each reading what the one before writes; built as states are met. Bonuses add to a token's weight before factors."""
 
     def __init__(self, parts: tuple[Transducer, ...]) -> None:
         self.parts = parts
@@ -97,9 +109,12 @@ class Composition:
     def step(self, state: tuple[int, ...], symbol: int) -> tuple[tuple[int, ...], float, float]:
         key = (state, symbol)
         if key not in self.moves:
-            steps = [p.step(s, symbol) for p, s in zip(self.parts, state, strict=True)]
-            factor = float(np.prod([f for _, f, _ in steps]))
-            self.moves[key] = (tuple(s for s, _, _ in steps), factor, sum(b for _, _, b in steps))
+            after, factor, bonus = [], 1.0, 0.0
+            for part, own in zip(self.parts, state, strict=True):
+                there, symbol, f, b = part.step(own, symbol)
+                after.append(there)
+                factor, bonus = factor * f, bonus + b
+            self.moves[key] = (tuple(after), factor, bonus)
         return self.moves[key]
 
     def weight(self, symbols: list[int], weights: list[float]) -> float:
@@ -110,8 +125,9 @@ class Composition:
         return total
 
 
-GRAMMAR = (TOWARDS, NEGATED, REPORTED, THREATENING)
-_composed = Composition(GRAMMAR)
+@lru_cache(maxsize=8)
+def grammar(bare: float = BARE) -> Composition:
+    return Composition((THREATENING, TOWARDS, NEGATED, REPORTED, _weighing(bare)))
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -134,6 +150,7 @@ class Model:
     odds: np.ndarray
     weights: np.ndarray
     bias: float
+    bare: float = BARE
 
     def features(self, block: Block) -> np.ndarray:
         """Of each text: 1 if a clause matched, the strongest clause, the logarithm of the total."""
@@ -157,9 +174,10 @@ class Model:
         new = np.append(True, (stops[starts[1:]] > stops[ends[:-1]]) | (doc[1:] != doc[:-1]))
         clause = np.cumsum(new) - 1
         first = np.append(np.flatnonzero(new), len(starts))
+        composed = grammar(self.bare)
         for c in np.unique(clause[hit]):
             a, b = first[c], first[c + 1]
-            w = _composed.weight(symbol[a:b].tolist(), weight[a:b].tolist())
+            w = composed.weight(symbol[a:b].tolist(), weight[a:b].tolist())
             if w > 0:
                 d = doc[a]
                 out[d, 0] = 1
@@ -181,7 +199,7 @@ def _function_words() -> dict[int, np.ndarray]:
     return _known
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bare: float = BARE) -> Model:
     """Learn the insults from four fifths of the sample and the probabilities from the other fifth."""
     ship(docs.sparkSession)
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(3), -40.0)
@@ -211,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
         return nothing
     least = max(LEAST_DOCS, int(LEAST_SHARE * up))
     counted = lambda part, known: part.mapInArrow(listed(known), "term long").groupBy("term").count()
-    held = counted(earlier.where("toxic = 1"), None).where(F.col("count") >= min(least, up)).orderBy(F.desc("count"), "term").limit(10 * TERMS).toPandas()
+    held = counted(earlier.where("toxic = 1"), None).where(F.col("count") >= min(least, up)).toPandas()  # at most 1 / LEAST_SHARE times a document's terms
     known = np.sort(held["term"].to_numpy(np.int64).view(np.uint64))
     others = counted(earlier.where("toxic = 0"), known).toPandas()
     against = dict(zip(others["term"].tolist(), others["count"].tolist(), strict=True))
@@ -219,10 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     other = np.array([against.get(t, 0) for t in held["term"].tolist()], float)
     odds = np.log((count + 0.1) / (up + 0.2)) - np.log((other + 0.5) / (down + 1))
     good = np.flatnonzero(odds >= LEAST_ODDS)
-    good = good[np.argsort(-odds[good], kind="stable")][:TERMS]
     terms = held["term"].to_numpy(np.int64).view(np.uint64)[good]
     order = np.argsort(terms)
-    model = Model(terms[order], odds[good][order], np.zeros(3), 0.0)
+    model = Model(terms[order], odds[good][order], np.zeros(3), 0.0, bare)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     x, y = check[["f0", "f1", "f2"]].to_numpy(), check["y"].to_numpy(float)
     scale = np.maximum(x.std(axis=0), 1e-6)
     w, b = learn.fit_logistic(x / scale, y, np.ones(len(y)), penalty=1e-3, steps=1500)
-    return Model(model.terms, model.odds, w / scale, b)
+    return Model(model.terms, model.odds, w / scale, b, bare)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

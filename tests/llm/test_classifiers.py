@@ -81,22 +81,32 @@ def test_toxicity(spark, toxic):
     assert toxicity.score(frame.limit(0), model).count() == 0
 
 
+I, O, T, N, R, H = toxicity.INSULT, toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT
+
+
+def weigh(*symbols, bare=toxicity.BARE):
+    return toxicity.grammar(bare).weight(list(symbols), [4.0 if x == I else 0.0 for x in symbols])
+
+
 def test_grammar_scores_clauses():
-    g = toxicity.Composition(toxicity.GRAMMAR)
-    I, O, T, N, R, H = toxicity.INSULT, toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT
-    weigh = lambda *s: g.weight(list(s), [4.0 if x == I else 0.0 for x in s])
-    assert weigh(O, I) == 4 and weigh(O, O) == 0
-    assert weigh(T, O, I) > weigh(O, I) > weigh(R, O, I) > weigh(N, R, I)
-    assert weigh(N, O, O, O, I) == 4  # out of the negation's reach
-    assert weigh(H) == 0 and weigh(H, T) > 0 and weigh(T, O, H) > 0 and weigh(N, H, T) >= 0
+    assert weigh(O, O) == 0 and weigh(O, I) == 4 * toxicity.BARE and weigh(O, I, bare=0.0) == 0 < weigh(T, O, I, bare=0.0)
+    assert weigh(T, O, I) > weigh(O, I) > weigh(R, O, I) > weigh(N, R, I) > 0
+    assert weigh(N, O, O, O, I) == weigh(I)  # out of the negation's reach
+    assert weigh(H) == 0 and weigh(O, H, O) == 0 and weigh(H, T) > 0 and weigh(T, O, H) > 0
+    assert 0 < weigh(N, H, T) < weigh(H, T) and 0 < weigh(R, T, H) < weigh(T, H)
+
+
+def test_each_machine_reads_what_the_one_before_writes():
+    """Softening reaches a threat only once the machines before have matched it with a target."""
+    g = toxicity.Composition((toxicity.THREATENING, toxicity.NEGATED))
+    state, _, _ = g.step(g.start, H)
+    state, factor, _ = g.step(state, N)
+    assert factor == 1 and g.step(state, T)[1] == 0.3 and g.step(g.step(g.start, N)[0], T)[1] == 1
 
 
 def test_targets_act_on_both_sides_of_an_insult():
-    g = toxicity.Composition(toxicity.GRAMMAR)
-    I, O, T, N = toxicity.INSULT, toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION
-    weigh = lambda *s: g.weight(list(s), [4.0 if x == I else 0.0 for x in s])
     assert weigh(I, O, T) == weigh(T, O, I) == weigh(T, I, T) == 5
-    assert weigh(I, *[O] * 5, T) == 5 and weigh(I, *[O] * 6, T) == 4
+    assert weigh(I, *[O] * 5, T) == 5 and weigh(I, *[O] * 6, T) == weigh(I)
     assert weigh(N, I, T) == 0.6 * 5
 
 
