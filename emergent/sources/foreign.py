@@ -1,9 +1,15 @@
-"""Ingest into tables of a Spark catalog, whose files other engines own: columns are added, types that can't change stay."""
+"""Ingest into tables of a Spark catalog, whose files other engines own.
+
+Columns are added, and widened where the catalog can change a column's type; elsewhere values are cast to the type that there is, and one
+that it can't hold is an error: the whole ingest fails and no row arrives.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, ParseException, UnsupportedOperationException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emergent.functions import lattice
 from emergent.operators.infer import documents_of, infer
@@ -13,7 +19,7 @@ from emergent.operators.transforms import Registry
 
 
 def ingest_catalog(spark: SparkSession, table: str, payloads: DataFrame, registry: Registry, transform: str | None = None, explode: str | None = None, ignore_errors: bool = False) -> Result:
-    """Append the payloads' rows; a value that the column's type can't hold is null, as the catalog refuses wider types."""
+    """Append the payloads' rows; what this did, as for the engine's own tables."""
     path, otlp = registry.resolve(transform, explode)
     found = infer(payloads, path, otlp, ignore_errors)
     if not found.columns:
@@ -29,7 +35,30 @@ def ingest_catalog(spark: SparkSession, table: str, payloads: DataFrame, registr
     if missing:
         added = ", ".join(f"`{c.name}` {lattice.spark_type(c.type).simpleString()}" for c in missing)
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({added})")
+    widened = 0
+    for c in found.columns:
+        field = own.get(c.name.lower())
+        wider = lattice.join_column(lattice.type_name(field.dataType), c.type) if field and not c.unset else ""
+        if wider and wider != lattice.type_name(field.dataType) and _altered(spark, table, field.name, wider):
+            widened += 1
     names = {c.name.lower(): c for c in found.columns}
-    fitted = [F.col(f"`{names[f.name.lower()].name}`").try_cast(f.dataType).alias(f.name) if f.name.lower() in names else F.lit(None).cast(f.dataType).alias(f.name) for f in spark.table(table).schema]
+    fitted = [_fitted(names[f.name.lower()].name, f) if f.name.lower() in names else F.lit(None).cast(f.dataType).alias(f.name) for f in spark.table(table).schema]
     rows.select(*fitted).write.insertInto(table)
-    return Result(table, False, len(missing), 0, found.rows, found.errors)
+    return Result(table, False, len(missing), widened, found.rows, found.errors)
+
+
+def _altered(spark: SparkSession, table: str, column: str, kind: str) -> bool:
+    """Whether the catalog has changed the column's type."""
+    try:
+        spark.sql(f"ALTER TABLE {table} ALTER COLUMN `{column}` TYPE {lattice.spark_type(kind).simpleString()}")
+    except (AnalysisException, ParseException, UnsupportedOperationException):
+        return False
+    return True
+
+
+def _fitted(name: str, field: T.StructField) -> Column:
+    """A column as the table's type; a value that doesn't fit raises, whatever the session's cast mode is."""
+    value = F.col(f"`{name}`")
+    cast = value.try_cast(field.dataType)
+    wrong = F.raise_error(F.concat(F.lit(f"column {field.name} of type {field.dataType.simpleString()} can't hold "), value.cast("string")))
+    return F.when(value.isNotNull() & cast.isNull(), wrong.cast(field.dataType)).otherwise(cast).alias(field.name)
