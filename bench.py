@@ -43,7 +43,7 @@ def main() -> None:
     folder = f"{shared_dir(spark)}/bench-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
     docs = rows.select(F.to_json(F.struct(F.col("l_orderkey").alias("order"), F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))).alias("value"))
-    docs.write.parquet(f"{folder}/json")
+    docs.repartition(int(CPUS)).write.parquet(f"{folder}/json")  # the table is one row group, which a single core would read
     text = spark.read.parquet(f"{folder}/json")
     count = text.count()
     done = lambda df: df.write.format("noop").mode("overwrite").save()

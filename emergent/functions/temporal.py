@@ -48,12 +48,12 @@ def sniff(text: str) -> str:
 
 def date_column(text: Column) -> Column:
     """parse_date as an expression."""
-    return F.when(text.rlike(DATE_PATTERN), F.regexp_replace(text, "[/ ]", "-").try_cast("date"))
+    return F.when(text.rlike(DATE_PATTERN), F.translate(text, "/ ", "--").try_cast("date"))
 
 
 def timestamp_column(text: Column) -> Column:
     """parse_timestamp as an expression; a date is its midnight."""
-    day = F.regexp_replace(F.regexp_extract(text, TIME_PATTERN, 1), "[/ ]", "-")
+    day = F.translate(F.regexp_extract(text, TIME_PATTERN, 1), "/ ", "--")
     clock = F.regexp_extract(text, TIME_PATTERN, 2)
     clock = F.when(clock.rlike("^[0-9]:"), F.concat(F.lit("0"), clock)).otherwise(clock)
     stamp = F.concat_ws(" ", day, F.regexp_replace(clock, r"(\.[0-9]{6})[0-9]+$", "$1")).try_cast("timestamp_ntz")

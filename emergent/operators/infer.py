@@ -1,7 +1,8 @@
 """Schema inference over a DataFrame of payload texts.
 
-Each task merges its documents into one tree and returns it as one row, so what reaches the driver grows with the number of tasks and of
-distinct paths, not with the rows. Trees merge in task order, which keeps first-seen column order the same in every run.
+Each task merges its documents into one tree; batches of plain documents are read by Arrow (``functions.native``). Those of
+``ROUND`` tasks merge on an executor, and what reaches the driver is one tree for each such group. Trees merge in task order, which keeps
+first-seen column order the same in every run.
 """
 
 from __future__ import annotations
@@ -16,10 +17,41 @@ from pyspark.sql import functions as F
 
 from emergent.functions.jsonparse import check_uniform, split
 from emergent.functions.lattice import Column, Node, PayloadError, compact, flatten
+from emergent.functions.native import Reader
 from emergent.operators.transforms import apply
 from emergent.session import ship
 
 
+#: Tasks whose trees merge on an executor.
+ROUND = 1024
+_SCHEMA = "part int, root string, bare string, rows long, objects long, errors long, wrong string, plain boolean"
+_PARTIAL = pa.schema([("part", pa.int32()), ("root", pa.string()), ("bare", pa.string()), ("rows", pa.int64()), ("objects", pa.int64()), ("errors", pa.int64()), ("wrong", pa.string()), ("plain", pa.bool_())])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each group of tasks, whose rows come in their order."""
+    held: dict | None = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            row |= {k: Node.load(json.loads(row[k])) for k in ("root", "bare")}
+            if held is None or held["group"] != row["group"]:
+                if held is not None:
+                    yield _partial(held)
+                held = row
+                continue
+            for k in ("root", "bare"):
+                held[k].merge(row[k])
+            for k in ("rows", "objects", "errors"):
+                held[k] += row[k]
+            held["wrong"], held["plain"] = held["wrong"] or row["wrong"], held["plain"] and row["plain"]
+    if held is not None:
+        yield _partial(held)
+
+
+def _partial(row: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([row | {k: json.dumps(row[k].dump()) for k in ("root", "bare")}], schema=_PARTIAL)
+
+
 @dataclass(frozen=True)
 class Inferred:
     columns: list[Column]
@@ -55,10 +87,15 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
         from pyspark import TaskContext
 
         root, bare, rows, objects, errors, wrong, plain = Node(), Node(), 0, 0, 0, None, not path
+        reader = Reader()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text is None:
-                    continue
+            texts = batch.column(0).drop_null()
+            tree = None if path else reader.tree(texts)
+            if tree is not None:
+                root.merge(tree)
+                rows, objects = rows + len(texts), objects + len(texts)
+                continue
+            for text in texts.to_pylist():
                 try:
                     documents, broken = split(text, ignore_errors)
                 except PayloadError as e:
@@ -73,11 +110,12 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
                         root.add(row)
                     else:
                         bare.add(row)
-        part = [TaskContext.get().partitionId(), json.dumps(root.dump()), json.dumps(bare.dump()), rows, objects, errors, wrong, plain]
-        yield pa.RecordBatch.from_pylist([dict(zip(["part", "root", "bare", "rows", "objects", "errors", "wrong", "plain"], part, strict=True))], schema=_PARTIAL)
+        yield _partial({"part": TaskContext.get().partitionId(), "root": root, "bare": bare, "rows": rows, "objects": objects, "errors": errors, "wrong": wrong, "plain": plain})
 
     name = payloads.columns[0]
-    partials = payloads.select(F.col(f"`{name}`").cast("string")).mapInArrow(merged, "part int, root string, bare string, rows long, objects long, errors long, wrong string, plain boolean").collect()
+    trees = payloads.select(F.col(f"`{name}`").cast("string")).mapInArrow(merged, _SCHEMA)
+    group = F.expr(f"part div {ROUND}").cast("int").alias("group")
+    partials = trees.select(group, "*").repartition("group").sortWithinPartitions("group", "part").mapInArrow(_joined, _SCHEMA).collect()
     root, bare = Node(), Node()
     for p in sorted(partials, key=lambda p: p["part"]):
         if p["wrong"]:
@@ -98,6 +136,3 @@ def documents_of(payloads: DataFrame, found: Inferred, path: list[str], otlp: bo
     if found.plain:
         return payloads.select(F.col(f"`{payloads.columns[0]}`").cast("string").alias("value"))
     return rows_of(payloads, path, otlp, ignore_errors)
-
-
-_PARTIAL = pa.schema([("part", pa.int32()), ("root", pa.string()), ("bare", pa.string()), ("rows", pa.int64()), ("objects", pa.int64()), ("errors", pa.int64()), ("wrong", pa.string()), ("plain", pa.bool_())])

@@ -105,3 +105,44 @@ def test_merging_parts_is_adding_all(documents, cut):
         right.add(d)
     merged = Node.load(left.dump()).merge(Node.load(right.dump()))
     assert merged.dump() == whole.dump()
+
+
+def test_native_reader_gives_the_same_trees():
+    """Arrow's reader against value by value, on random documents; where it gives up the caller reads value by value."""
+    import random
+
+    import pyarrow as pa
+
+    from emergent.functions.lattice import Node, compact
+    from emergent.functions.native import Reader
+
+    r = random.Random(8)
+    texts = ["word", "2031-05-02", "2031/5/2", "2031-05-02T08:09:00Z", "2031-05-02 08:09", "2031-13-02", "12", "", "é\n\"x\"", "2031-05-02 and more"]
+
+    def value(kind):
+        return {
+            "int": lambda: r.choice([1, -5, 0, 1 << 40]), "big": lambda: r.choice([1 << 63, 5]), "float": lambda: r.choice([1.5, 2.0, 1e300]), "mixed": lambda: r.choice([1, 2.5]),
+            "bool": lambda: r.random() < 0.5, "text": lambda: r.choice(texts), "day": lambda: r.choice(texts[1:3]), "time": lambda: r.choice(texts[1:5]), "none": lambda: None,
+            "list": lambda: [r.choice([1, None]) for _ in range(r.randrange(3))], "lists": lambda: [["a"], []][: r.randrange(3)], "object": lambda: {"k": r.choice([None, 1]), "d": {"e": r.choice(texts[1:3])}}, "empty": lambda: {},
+            "objects": lambda: [{"q": 1}], "clash": lambda: r.choice([1, "x", {"y": 1}, [1], None, True]),
+        }[kind]()
+
+    kinds = ["int", "big", "float", "mixed", "bool", "text", "day", "time", "none", "list", "lists", "object", "empty", "objects", "clash"]
+    native = 0
+    for _ in range(300):
+        columns = {f"c{i}": r.choice(kinds) for i in range(r.randrange(1, 6))}
+        reader, whole, read = Reader(), Node(), Node()
+        for _ in range(3):  # batches of one shape, with keys left out
+            documents = [{c: value(k) for c, k in columns.items() if r.random() < 0.9} for _ in range(r.randrange(1, 12))]
+            tree = reader.tree(pa.array([compact(d) for d in documents]))
+            own = Node()
+            for d in documents:
+                own.add(d)
+            whole.merge(own)
+            native += tree is not None
+            read.merge(tree or own)
+        assert read.dump() == whole.dump()
+    assert native > 300
+    one = Reader().tree
+    for odd in ('{"a":1}{"a":2}', '{"a":1,"a":"x"}', "[1]", "5", '{"a":1', '{"a":\n1}'):
+        assert one(pa.array([odd])) is None
