@@ -144,7 +144,7 @@ def otlp_traces_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda key, value: F.struct(F.lit(key).alias("key"), F.struct(value.alias("doubleValue")).alias("value"))
     identifier = F.base64(F.unhex(F.lpad(F.lower(F.hex(F.col("event_id") + 1048576)), 16, "0")))
     span = F.struct(F.col("event_type").alias("name"), identifier.alias("spanId"), F.col("event_id").cast("string").alias("startTimeUnixNano"), F.array(number("latency", F.col("value"))).alias("attributes"))
-    spans = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("svc_"), (F.col("user_id") % 4).cast("string")).alias("service"), (F.col("event_id") % 64).alias("part")).agg(F.collect_list(span).alias("spans"))
+    spans = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("svc_"), (F.col("user_id") % 4).cast("string")).alias("service"), F.expr("event_id div 256")).agg(F.collect_list(span).alias("spans"))
     resource = F.struct(F.array(word("service.name", F.col("service"))).alias("attributes"))
     docs = documents(spans, F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.col("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
     rows = records(docs, *Registry().resolve("otlp-traces"))
@@ -306,7 +306,7 @@ _SHARED = {
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "join_full": "SELECT count(*) AS n, count(c_custkey) AS a, count(s_suppkey) AS b FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 7",
     "join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
-    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "join_theta": "SELECT count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_multi": "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "agg_pricing": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus",
