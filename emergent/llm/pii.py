@@ -315,7 +315,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with every span of ``text`` replaced by its kind in brackets; of overlapping spans the first."""
+    """docs with every span of ``text`` replaced by its kind in brackets; spans that overlap become one, of the first one's kind."""
     model = trees(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = F.array_sort(F.concat(*(_spans(text, k) for k in BASE), _added(text, model, threshold)), lambda a, b: (a["start"] - b["start"]).cast("int"))
@@ -324,7 +324,8 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def one(state: Column, s: Column) -> Column:
         between = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
         taken = F.struct(s["end"].alias("at"), F.concat(state["out"], between, F.lit("["), s["kind"], F.lit("]")).alias("out"))
-        return F.when(s["start"] >= state["at"], taken).otherwise(state)
+        longer = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
+        return F.when(s["start"] >= state["at"], taken).otherwise(longer)
 
     done = lambda end: F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))
     return docs.withColumn("text", F.when(F.col("text").isNotNull(), let(F.aggregate(spans, start, one), done)))

@@ -2,8 +2,8 @@
 
 Texts become sequences of token classes: insults (with a weight learnt from labelled rows), threats, targets, negations, reported speech
 and other words. A clause goes through weighted transducers, each of which reads what the one before writes: a pass from the clause's end
-marks the insults that a target follows; the next marks those that follow a target, and threats near one; then negations soften what they
-reach, reported speech softens what it quotes, and the last machine weighs what a clause has matched. A threat matches only with a target;
+marks the insults that a target follows; the next marks insults and threats that follow a target, and another targets that follow a threat;
+then negations soften what they reach, reported speech softens what it quotes, and the last machine weighs what a clause has matched. A threat matches only with a target;
 an insult without one is a pattern of its own, of weight ``BARE``. The transducers are composed into one machine, whose weight of a clause
 is the sum of what it writes. Logistic regression turns a text's strongest clause and its total into a calibrated probability.
 
@@ -127,7 +127,7 @@ class Composition:
 
 @lru_cache(maxsize=8)
 def grammar(bare: float = BARE) -> Composition:
-    return Composition((THREATENING, TOWARDS, NEGATED, REPORTED, _weighing(bare)))
+    return Composition((TOWARDS, THREATENING, NEGATED, REPORTED, _weighing(bare)))
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

@@ -3,8 +3,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
-from helpers import unlike_twins
+from helpers import clause_weight, mixture, unlike_twins
 
 from emergent.llm import langid, quality, toxicity
 
@@ -29,6 +30,35 @@ def stats(text):
     return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(covered)]
 
 
+def quality_probability(text, model):
+    """The model's verdict from n-grams counted one by one."""
+    from emergent.llm.blocks import hash_of
+
+    whole = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & whole
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & whole
+        return h ^ h >> 31
+
+    def chained(parts):
+        out = 0
+        for part in parts:
+            out = mix((out * 3 + part + 0x632BE59BD9B4E019) & whole)
+        return out
+
+    words = [hash_of(w.encode()) for w in WORD.findall(text)]
+    pairs = [0xA5A5A5A5A5A5A5A5 if a == b else chained([a, b]) for a, b in zip(words, words[1:])]
+    raw = text.encode()
+    grams = lambda n: [int.from_bytes(raw[i : i + n], "big") * 0x9E3779B97F4A7C15 & whole for i in range(len(raw) - n + 1)]
+    x, at = np.zeros(quality.WORD_DIMS + quality.BYTE_DIMS), 0
+    for values, dims in ((words, quality.WORD_DIMS // 2), (pairs, quality.WORD_DIMS // 2), (grams(3), quality.BYTE_DIMS // 2), (grams(5), quality.BYTE_DIMS // 2)):
+        for cell, n in Counter((v >> 11) % dims for v in values).items():
+            x[at + cell] = (n / len(values)) ** 0.5
+        at += dims
+    return 1 / (1 + np.exp(-(model.a * (x @ model.weights + model.bias) + model.b)))
+
+
 def test_quality(spark):
     r = random.Random(1)
     good = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "the", "of"]) + r.choice("abc") for _ in range(80)) for _ in range(150)]
@@ -44,6 +74,8 @@ def test_quality(spark):
     verdict = {r["doc_id"]: r for r in rows}
     assert all(verdict[i]["kept"] == (i < 150) for i in range(300))
     assert all(not v["kept"] for v in verdict.values() if v["base_failed"]) and verdict[100_000]["base_failed"] and verdict[100_004]["base_failed"]
+    for d, t in docs[::25] + docs[300:]:
+        assert verdict[d]["probability"] == pytest.approx(quality_probability(t or "", model), abs=1e-4)
     kept = quality.keep(frame, model)
     assert kept.columns == frame.columns and {x["doc_id"] for x in kept.collect()} == {d for d, v in verdict.items() if v["kept"]}
     assert quality.fit(frame, labels.where("quality = 1")) is None and quality.fit(frame, labels.limit(0)) is None
@@ -110,6 +142,47 @@ def test_targets_act_on_both_sides_of_an_insult():
     assert weigh(N, I, T) == 0.6 * 5
 
 
+def test_grammar_is_its_rules():
+    r = random.Random(6)
+    kinds = {"o": O, "i": I, "h": H, "t": T, "n": N, "r": R}
+    for _ in range(3000):
+        symbols = r.choices("oooihtnr", k=r.randrange(1, 16))
+        weights = [r.choice([2.0, 3.5]) if s == "i" else 0.0 for s in symbols]
+        bare = r.choice([0.0, 0.8])
+        assert toxicity.grammar(bare).weight([kinds[s] for s in symbols], weights) == pytest.approx(clause_weight(symbols, weights, bare)), symbols
+
+
+def test_toxicity_features_are_those_of_brute_force(spark, toxic):
+    """Tokens, clauses and features of whole texts, by regular expressions and the rules."""
+    import math
+
+    import pyarrow as pa
+
+    from emergent.llm.blocks import blocks_of, hash_of
+
+    frame, labels = toxic
+    model = toxicity.fit(frame, labels)
+    odds = dict(zip(model.terms.tolist(), model.odds.tolist(), strict=True))
+    kinds = {w: s for kind, s in ((H, "h"), (T, "t"), (N, "n"), (R, "r")) for w in toxicity.WORDS[kind].split()}
+
+    def token(word):
+        hashes = [hash_of(word.encode(), lower=True)] + [(hash_of(word[:k].encode(), lower=True) + k) % (1 << 64) for k in toxicity.PREFIXES if len(word) > k]
+        weight = max([odds.get(x, 0.0) for x in hashes])
+        return ("i", weight) if weight > 0 else (kinds.get(word.translate({i: i + 32 for i in range(65, 91)}), "o"), 0.0)
+
+    r = random.Random(5)
+    words = ["You", "kill", "not", "said", "zorgling", "Zorgster!", "blatherskites", "fine", "día,", "nie.", "x(y)", "they:", "tú", "42", "hurt;"]
+    texts = [" ".join(r.choices(words, k=r.randrange(0, 40))) for _ in range(200)] + ["", "you zorgling " * 3000]
+    found = [row for block in blocks_of(pa.array(texts)) for row in model.features(block).tolist()]
+    for text, row in zip(texts, found, strict=True):
+        scores = []
+        for clause in re.split(r"[.!?;:,\n()]+", text):
+            marks = [token(w) for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", clause)]
+            scores.append(clause_weight([s for s, _ in marks], [w for _, w in marks], model.bare))
+        scores = [x for x in scores if x > 0]
+        assert row == pytest.approx([float(bool(scores)), max(scores, default=0.0), math.log1p(sum(scores))])
+
+
 def test_language(spark):
     r = random.Random(3)
     syllables = {"aa": ["ka", "ti", "mo"], "bb": ["sch", "ung", "ver"], "cc": ["ção", "ê", "lh"]}
@@ -126,6 +199,8 @@ def test_language(spark):
     assert set(by[0]["mixture"]) == {"aa"}
     assert [by[d]["lang_pred"] for d in (100_000, 100_001, 100_002, 100_003)] == ["und"] * 4 and by[100_000]["score"] == 0
     assert all(x["held_out"] == held(x["doc_id"]) for x in rows if x["doc_id"] is not None)
+    for d, text, _ in docs[::10] + docs[300:302]:
+        assert by[d]["mixture"] == pytest.approx(mixture(text, model.names, model.log_p), abs=2e-3)
     empty = langid.fit(frame.where("lang is null"))
     assert {x["lang_pred"] for x in langid.predict(frame, empty).collect()} == {"und"}
     assert langid.predict(frame.limit(0), model).count() == 0

@@ -118,3 +118,18 @@ def test_overlapping_candidates_of_loose_kinds(spark):
     added = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["added"]] for r in pii.find(frame(spark, texts)).collect()}
     assert sorted(added[0]) == [("account", "BE68539007547034"), ("local_phone", "555-010-9999")]
     assert ("local_phone", "555-010-9999") in added[2] and ("local_phone", "555-010-9998") in added[2]
+
+
+def test_added_secrets_are_those_of_regular_expressions(spark):
+    forms = {"private_key": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0), "github": ("gh[pousr]_([A-Za-z0-9]+)", 36), "google": ("AIza([A-Za-z0-9_-]+)", 35), "stripe": ("[rs]k_live_([A-Za-z0-9]+)", 16)}
+    parts = ["ghp_", "ghx_", "AIza", "sk_live_", "rk_live_", "aB3" * 6, "Z9_-", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", " ", "é", "-", "0" * 20]
+    texts = random_texts(parts, 4, 1500)
+    rows = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        expected = [(k, m.start(), m.end()) for k, (p, least) in forms.items() for m in re.finditer(p, t) if not least or len(m[1]) >= least]
+        assert sorted(x for x in rows[i] if x[0] in forms) == sorted(expected)
+
+
+def test_redaction_leaves_no_tail_of_overlapping_spans(spark):
+    out = pii.redact(frame(spark, ["at +1 5550109999@mail.org now", "x 1.2.3.4@host.net"])).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == ["at [phone] now", "x [email]"] or all("mail.org" not in r["text"] and "host.net" not in r["text"] for r in out)
