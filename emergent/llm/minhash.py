@@ -16,8 +16,8 @@ hash function gives every set a sketch: its ``K`` smallest values.
    between different components goes unseen, and the pairs inside a component are never formed.
 
 Nothing about documents, links or components is collected on the driver; each round is checkpointed in the shared folder. Lists are only
-joined (adaptive execution splits hot ones) or reduced with partial aggregation; heads, neighbours and labels that hold many rows are joined
-where the rows are (``skew``).
+joined (adaptive execution splits hot ones) or reduced with partial aggregation; joins on heads, neighbours and labels, any of which may hold
+a third of all rows, are salted.
 
 Defined cases: a text that is null or has no words has an empty set and is linked with nothing; fewer words than a shingle make one
 shingle; rows that share a doc_id are linked with each other; a row without doc_id takes no part, has a null component and is kept; other
@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emergent.llm.blocks import FIXED, blocks_of, chained, mix, random_key
-from emergent.llm.skew import hot_keys, join_unique
 from emergent.session import checkpointed, ship
 
 #: Values in a sketch; the chance to miss a link at exactly the threshold; members of a block of comparisons.
 K, MISS, BLOCK = 32, 1e-8, 512
 #: Values of all sets of a block together, about, and of those that are multiplied at once.
 BLOCK_VALUES, SLICE = 400_000, 8192
+#: Groups that the rows of a key are dealt to in joins whose key may be hot.
+SALTS = 8
 _PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -160,17 +161,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int,
     return joined.select("a", "b", "sa", "sb").mapInArrow(checked, f"a {kind}, b {kind}").distinct()
 
 
+def _salted(rows: DataFrame, unique: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with a table that has each key once; a key's rows are dealt to SALTS groups by another column."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, label) of every vertex of the links (a, b): the smallest vertex reachable. Labels move along links and jump to labels."""
     edges = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    hubs = checkpointed(hot_keys(edges, "b"))
     labels = checkpointed(edges.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("m")).select("cid", F.least("cid", "m").alias("label")))
     while True:
-        near = join_unique(edges, labels.withColumnsRenamed({"cid": "b"}), "b", hubs).groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("m"))
-        moved = checkpointed(labels.join(near, "cid").select("cid", F.col("label").alias("was"), F.least("label", "m").alias("label")))
+        near = _salted(edges, labels.withColumnsRenamed({"cid": "b"}), "b", "a").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("m"))
+        moved = labels.join(near, "cid").select("cid", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         target = labels.select(F.col("cid").alias("label"), F.col("label").alias("onward"))
-        onward = join_unique(moved, target, "label", hot_keys(moved, "label"))
-        jumped = checkpointed(onward.select("cid", "was", F.least("label", "onward").alias("label")))
+        jumped = checkpointed(_salted(moved, target, "label", "cid").select("cid", "was", F.least("label", "onward").alias("label")))
         labels = jumped.select("cid", "label")
         if jumped.where("label <> was").isEmpty():
             return labels
@@ -192,14 +198,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, key: int) -> DataFrame
 def _across(groups: DataFrame, labels: DataFrame, docs: DataFrame, words: int, num: int, den: int, key: int) -> DataFrame:
     """Links (a, b) between components within groups (head, cid, n): one for each two components that a block finds linked."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    labelled = checkpointed(groups.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")))
+    labelled = groups.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     parts = labelled.groupBy("head", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     top = F.max(F.struct("c", "w", "label")).alias("top")
     whole = parts.groupBy("head").agg(F.sum("c").alias("m"), F.sum("w").alias("mw"), top, F.count(F.lit(1)).alias("labels")).where("labels > 1")
     chunks = lambda count, weight: F.greatest(F.ceil(count / BLOCK), F.ceil(weight / BLOCK_VALUES)).cast("int")
     outside, every = chunks(F.col("m") - F.col("top.c"), F.col("mw") - F.col("top.w")), chunks(F.col("m"), F.col("mw"))
     open_groups = whole.select("head", F.col("top.label").alias("main"), outside.alias("ni"), every.alias("nj"))
-    member = join_unique(labelled, open_groups, "head", hot_keys(labelled, "head"))
+    member = _salted(labelled, open_groups, "head", "cid")
     chunk = lambda count: F.pmod(F.xxhash64("cid"), F.col(count)).cast("int")
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = member.where("label <> main").select("head", "cid", "label", F.lit(True).alias("side"), chunk("ni").alias("i"), spread("nj").alias("j"))

@@ -143,9 +143,7 @@ def test_near_duplicates_with_text_ids(spark):
     assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(rows).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
 
 
-def test_hot_hubs_and_labels(monkeypatch, spark):
-    """Joins of hot keys give what plain joins give."""
-    monkeypatch.setattr("emergent.llm.skew.HOT", 0.05)
+def test_components_of_hubs_and_chains(spark):
     links = [(0, k) for k in range(1, 60)] + [(k, k + 100) for k in range(1, 30)] + [(500, 501), (501, 502)]
     found = {r["cid"]: r["label"] for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {v: 0 if v < 500 else 500 for pair in links for v in pair}
