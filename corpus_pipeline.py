@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs. The
 first four keep the columns of documents; the last returns the packed pieces. Rows with null or empty texts go in the first stage, which
-asks for fifty words; near dedup judges every row by its own text, whatever doc_id it shares, and keeps rows without doc_id.
+asks for fifty words; near dedup judges every row by its own text, whatever doc_id it shares, and keeps rows without doc_id. An empty table
+stays empty through every stage; columns beside doc_id, text and n_chars are carried as they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from emergent.llm import lines, minhash, packing, quality, secret_scan
 from emergent.session import checkpointed, shared_dir
 
-#: SQL can't express the trained verdict of the first stage or the packing of the last; tests hold both against brute force.
+#: SQL can't express the trained verdict of the first stage or the packing of the last. The tests hold the stages between against brute force,
+#: and the operators of all five have brute-force tests of their own.
 ORACLE_SQL = None
 
 
