@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -37,13 +38,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share for checkpoints; set only where the session has none."""
+    """The folder that driver and executors share for checkpoints; set only where the session has none and runs in one process."""
     directory = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if directory is None:
         current = jsc.getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         directory = os.path.join(tempfile.gettempdir(), "emergent-checkpoints")
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(directory)
