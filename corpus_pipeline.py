@@ -33,21 +33,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return stripped.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number ``_row`` of each row that has a doc_id, in the order of doc_id; doc_id itself where none is repeated."""
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.withColumn("_row", F.col("doc_id"))
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number ``row`` of each row that has a doc_id, in the order of doc_id; doc_id itself where none is repeated."""
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1").isEmpty():
+        return docs.withColumn(row, F.col("doc_id"))
     order = ["doc_id", F.xxhash64("text")]
     ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return checkpointed(ordered.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    return checkpointed(ordered.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, the first by doc_id, of each group of near-duplicates (five words, 0.8)."""
-    rows = _numbered(docs)
-    verdict = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, num=80, den=100)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    rows = _numbered(docs, row)
+    verdict = minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words=5, num=80, den=100)
+    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
