@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +23,8 @@ from emergent.operators.transforms import apply
 from emergent.session import ship
 
 
-#: Tasks whose trees merge on an executor.
-ROUND = 1024
+#: Tasks whose trees merge on an executor; row documents that a task holds at most, about, and those that are worth Arrow's reader.
+ROUND, HELD, FEW = 1024, 4096, 16
 _SCHEMA = "part int, root string, bare string, rows long, objects long, errors long, wrong string, plain boolean"
 _PARTIAL = pa.schema([("part", pa.int32()), ("root", pa.string()), ("bare", pa.string()), ("rows", pa.int64()), ("objects", pa.int64()), ("errors", pa.int64()), ("wrong", pa.string()), ("plain", pa.bool_())])
 
@@ -87,11 +88,32 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
         from pyspark import TaskContext
 
         root, bare, rows, objects, errors, wrong, plain = Node(), Node(), 0, 0, 0, None, not path
-        reader = Reader()
+        reader, made = Reader(), Reader()
+        held: list[Any] = []
+
+        def seen(documents: list[Any]) -> int:
+            """Add row documents to the trees; the number of objects among them."""
+            own = [d for d in documents if isinstance(d, dict)]
+            for value in documents if len(own) < len(documents) else ():
+                if not isinstance(value, dict):
+                    bare.add(value)
+            try:
+                tree = made.tree(pa.array([compact(d) for d in own], pa.string())) if len(own) >= FEW else None
+            except UnicodeEncodeError:  # half of a surrogate pair
+                tree = None
+            if tree is not None:
+                root.merge(tree)
+            else:
+                for document in own:
+                    root.add(document)
+            return len(own)
+
         for batch in batches:
             texts = batch.column(0).drop_null()
             tree = None if path else reader.tree(texts)
             if tree is not None:
+                if held:  # what came before is merged before
+                    rows, objects, held = rows + len(held), objects + seen(held), []
                 root.merge(tree)
                 rows, objects = rows + len(texts), objects + len(texts)
                 continue
@@ -103,13 +125,11 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
                     continue
                 errors += broken
                 plain = plain and len(documents) == 1 and isinstance(documents[0], dict) and text.lstrip().startswith("{") and not broken
-                for row in apply(documents, path, otlp):
-                    rows += 1
-                    if isinstance(row, dict):
-                        objects += 1
-                        root.add(row)
-                    else:
-                        bare.add(row)
+                held += apply(documents, path, otlp)
+                if len(held) >= HELD:
+                    rows, objects = rows + len(held), objects + seen(held)
+                    held = []
+        rows, objects = rows + len(held), objects + seen(held)
         yield _partial({"part": TaskContext.get().partitionId(), "root": root, "bare": bare, "rows": rows, "objects": objects, "errors": errors, "wrong": wrong, "plain": plain})
 
     name = payloads.columns[0]
