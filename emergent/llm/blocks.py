@@ -157,7 +157,7 @@ def hash_of(text: bytes, lower: bool = False, key: int = FIXED) -> int:
     return int(one.hashes(one.starts, one.ends, lower, key)[0])
 
 
-def blocks_of(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks_of(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[Block]:
     """Blocks over a string column; a null text is an empty one."""
     column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string())
     if column.null_count:
@@ -171,7 +171,7 @@ def blocks_of(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(n, first + BLOCK_ROWS, max(first + 1, last))
+        last = min(n, first + rows, max(first + 1, last))
         low, high = int(offsets[first]), int(offsets[last])
         yield Block(first, data[low:high], offsets[first:last] - low, offsets[first + 1 : last + 1] - low)
         first = last

@@ -1,15 +1,19 @@
-"""BPE encoding and decoding of whole texts through tables of distinct words.
+"""BPE encoding and decoding of whole texts through a table of distinct words.
 
 A block of texts is split into *words* at places where the byte-level pre-tokenizer always starts a new piece, so that each word can be
-encoded by itself: before a space, and before and after a newline, that is followed by a byte that surely is not white space. The words
-of a block become a table of distinct words; each is encoded once and kept in a bounded table that later blocks of the same worker use;
-the ids then go back to each position by an index join. A word is found by a hash keyed at random in each worker and taken only if its bytes
-are equal. Decoding joins ids with a table of pieces. Words of ASCII and Latin-1 letters
-are encoded by tiktoken over the same vocabulary where its merge ranks are its ids (about eight times as fast), all others by the
-tokenizers library. Only texts holding a special token's string, which the library treats apart from words, are encoded whole.
+encoded by itself: before a space, and before and after a newline, that is followed by a byte that surely is not white space. Each block
+sends its distinct words, packed, to the shards of the word table; a shard, all of it in one task, encodes each of its distinct words once
+and sends the ids back to the blocks that asked; a block joins them to its positions by number. The blocks themselves travel compressed
+to where their ids arrive. Equal words are found by a hash keyed at random for each call, and bytes are compared. Decoding joins ids with
+a table of pieces. Words of ASCII and Latin-1 letters are encoded by tiktoken over the same vocabulary where its merge ranks are its ids
+(about eight times as fast), all others by the tokenizers library. Only texts holding a special token's string, which the library treats
+apart from words, are encoded whole.
 
-Nothing is shuffled: the word table lives next to the texts it serves. A global table would need every distinct word of every partition
-to cross the network, and its join would move the texts too.
+A block's name is a digest of its rows, so the two passes over the documents need not agree on partitions: equal names mean equal words.
+Words that no shard answers (the documents came in another order the second time) are encoded where the block is. The number of shards
+grows with the table's size, so a shard's words fit in a worker; a hot word is one entry in each block, however often it stands there.
+
+Packing (`packing.py`) uses ``WordTable.encode_block`` instead, the same words with a bounded table in each worker and no shuffle.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty text; repeated rows are encoded alike; very long texts are
 blocks of their own; other columns are ignored.
@@ -18,21 +22,31 @@ blocks of their own; other columns are ignored.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from emergent.llm.blocks import Block, blocks_of, random_key
+from emergent.llm.blocks import Block, blocks_of, mix, random_key, release_memory
 from emergent.session import ship
 
 #: Slots of a worker's table of words; a word that finds its slot taken is encoded again in each block that holds it.
 SLOTS = 1 << 20
 #: Words, their bytes and their ids that a worker keeps; words met later are encoded for their block alone. Bounds a worker's memory.
 KEPT_WORDS, KEPT_BYTES, KEPT_IDS = 1 << 18, 1 << 22, 1 << 20
+#: Bytes and rows of a block that asks for its words at once: the larger, the fewer words travel.
+ASK_BYTES, ASK_ROWS = 1 << 23, 1 << 14
+#: Bytes of the stored table for each shard of the word table; there are FEWEST shards at least.
+SHARD_BYTES, FEWEST = 1 << 22, 16
+#: The shard number of texts: after all shards, so that a block's ids come before its texts.
+TEXTS = (1 << 31) - 1
 
 _sure = np.zeros(256, bool)  # bytes that cannot begin a white-space character
 _sure[0x21:0x7F] = True
@@ -131,27 +145,40 @@ class WordTable:
         """The ids of all texts of a block, and where each text's ids begin (one entry more than texts)."""
         if self.stale or len(self.ids) > 4 * KEPT_IDS or len(self.bytes) > 4 * KEPT_BYTES:  # also after a huge text of rare words
             self.clear()
-        data = block.data
-        cut = np.zeros(len(data), bool)
-        if len(data) > 1:
-            sure = _sure[data]
-            sure[block.starts[block.starts < len(data)]] = False  # what follows belongs to another text
-            sure = sure[1:]
-            cut[:-1] = (data[:-1] == 0x20) & sure
-            newline = (data[:-1] == 0x0A) & sure
-            cut[:-1] |= newline
-            cut[1:] |= newline
-        full = block.ends > block.starts
-        cut[block.starts[full]] = True
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(data))
+        starts, ends = cut_words(block)
         word_ids, lengths = self._look_up(block, starts, ends)
         bounds = np.append(np.searchsorted(starts, block.starts), len(starts))
         sums = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lengths, out=sums[1:])
         ids = ragged(self.ids, self.id_at[word_ids], lengths)
         doc_at = sums[bounds]
-        if any(s in data.tobytes() for s in self.special):
+        if any(s in block.data.tobytes() for s in self.special):
+            return self._with_special(block, ids, doc_at)
+        return ids, doc_at
+
+    def joined(self, block: Block, answers: dict[int, tuple[int, bytes]], key: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_block, by the ids that shards sent for the block's distinct words."""
+        starts, ends = cut_words(block)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(block.n + 1, np.int64)
+        h, first, back = distinct_words(block, starts, ends, key)
+        order, bounds, to = _by_shard(h, shards)
+        lengths, parts = [], []
+        for shard, a, b in zip(to.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if shard in answers and answers[shard][0] == b - a:
+                size, ids = _unpack(answers[shard][1], b - a, "<u4")
+            else:  # the block was another when it asked
+                found = self.encode_words([block.data[starts[i] : ends[i]].tobytes() for i in first[order[a:b]].tolist()])
+                size, ids = np.fromiter(map(len, found), np.int64, b - a), np.fromiter((i for e in found for i in e), np.uint32)
+            lengths.append(size)
+            parts.append(ids)
+        sizes, ids, id_at, id_size = np.concatenate(lengths), np.concatenate(parts), np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        id_size[order], id_at[order] = sizes, np.cumsum(sizes) - sizes
+        each = id_size[back]
+        sums = np.append(0, np.cumsum(each))
+        doc_at = sums[np.append(np.searchsorted(starts, block.starts), len(starts))]
+        ids = ragged(ids, id_at[back], each)
+        if any(s in block.data.tobytes() for s in self.special):
             return self._with_special(block, ids, doc_at)
         return ids, doc_at
 
@@ -227,6 +254,41 @@ class WordTable:
         return raw
 
 
+def cut_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a block begin and end; they cover all its bytes."""
+    data = block.data
+    cut = np.zeros(len(data), bool)
+    if len(data) > 1:
+        sure = _sure[data]
+        sure[block.starts[block.starts < len(data)]] = False  # what follows belongs to another text
+        sure = sure[1:]
+        cut[:-1] = (data[:-1] == 0x20) & sure
+        newline = (data[:-1] == 0x0A) & sure
+        cut[:-1] |= newline
+        cut[1:] |= newline
+    cut[block.starts[block.ends > block.starts]] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.append(starts[1:], len(data))[: len(starts)]
+
+
+def distinct_words(block: Block, starts: np.ndarray, ends: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct word of a block its hash and a position where it stands, and the number of each position's word."""
+    h = block.hashes(starts, ends, key=key)
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    sizes, step = ends - starts, 1 << 16
+    equal = bool((sizes == sizes[first][back]).all())
+    for low in range(0, len(starts) if equal else 0, step):
+        part = slice(low, low + step)
+        own = block.data[starts[low] : ends[part][-1]]
+        equal = equal and bool((own == ragged(block.data, starts[first][back[part]], sizes[part])).all())
+    if not equal:  # other words with an equal hash
+        raw = block.data.tobytes()
+        number: dict[bytes, int] = {}
+        back = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        first = np.unique(back, return_index=True)[1]
+    return h[first], first, back
+
+
 def ragged(values: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[at : at + length] of each pair, end to end."""
     total = int(lengths.sum())
@@ -255,35 +317,140 @@ def read_vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded and decoded_sha256 of each row; without the arrays and texts unless ``keep``.
+def _pack(*parts: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(p.tobytes() for p in parts), 3)
+
+
+def _unpack(payload: bytes, n: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n lengths that begin a payload, and what follows them."""
+    raw = zstandard.decompress(payload)
+    return np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, kind, offset=4 * n)
 
-    ``path`` is the vocabulary file on the driver; its content (of a fixed size) is broadcast, so executors need no such file.
-    """
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array, Block]]:
+    """The blocks of a task with their names, digests of their rows and of their number in the task, and their doc_ids."""
+    number = 0
+    for batch in batches:
+        for block in blocks_of(batch.column("text"), ASK_BYTES, ASK_ROWS):
+            ids = batch.column("doc_id").slice(block.first, block.n)
+            name = blake2b(repr((number, ids.to_pylist())).encode(), digest_size=16)
+            name.update(block.ends.tobytes())
+            name.update(block.data)
+            number += 1
+            yield name.digest(), ids, block
+
+
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _answers(asked: DataFrame, shared, encoded: Accumulator | None) -> DataFrame:
+    """The ids of asked words, in the order in which each block asked; a shard encodes a word once."""
+    out = pa.schema([("block", pa.binary()), ("shard", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(shared.value)
+        shard, known = None, {}
         for batch in batches:
-            for block in blocks_of(batch.column("text")):
-                ids, at = table.encode_block(block)
-                each = [ids[at[i] : at[i + 1]] for i in range(block.n)]
-                decoded = [table.decode(x) for x in each]
-                columns = {
-                    "doc_id": batch.column("doc_id").slice(block.first, block.n),
-                    "n_tokens": pa.array(np.diff(at), pa.int64()),
-                    "ids_sha256": pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()),
-                    "decoded_sha256": pa.array([sha256(x).hexdigest() for x in decoded], pa.string()),
-                }
-                if keep:
-                    columns["ids"] = pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32()))
-                    columns["decoded"] = pa.array([x.decode() for x in decoded], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+            payloads = []
+            for row_shard, n, payload in zip(batch.column("shard").to_pylist(), batch.column("n").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if row_shard != shard:
+                    shard, known = row_shard, {}
+                sizes, data = _unpack(payload, n, "u1")
+                raw, ends = data.tobytes(), np.cumsum(sizes)
+                words = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                new = [w for w in words if w not in known]
+                for w, ids in zip(new, table.encode_words(new), strict=True):
+                    known[w] = array("I", ids).tobytes()
+                if encoded is not None:
+                    encoded.add(len(new))
+                found = [known[w] for w in words]
+                lengths = np.fromiter(map(len, found), np.uint32, n) // 4
+                payloads.append(_pack(lengths.astype("<u4"), np.frombuffer(b"".join(found), "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("shard"), batch.column("n"), pa.array(payloads, pa.binary())], schema=out)
+
+    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(answered, "block binary, shard int, n long, payload binary")
+
+
+def encode(docs: DataFrame, path: str | None = None, keep: bool = True, encoded: Accumulator | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded and decoded_sha256 of each row; without the arrays and texts unless ``keep``.
 
+    ``path`` is the vocabulary file on the driver; its content (of a fixed size) is broadcast, so executors need no such file.
+    ``encoded`` counts the words that shards encode.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(read_vocabulary(path))
+    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    shards, key = max(FEWEST, min(stored // SHARD_BYTES, 1 << 30)), random_key()
+    rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    asks = pa.schema([("block", pa.binary()), ("shard", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, block in _named(batches):
+            starts, ends = cut_words(block)
+            if not len(starts):
+                continue
+            h, first, _ = distinct_words(block, starts, ends, key)
+            order, bounds, to = _by_shard(h, shards)
+            first = first[order]
+            sizes = (ends - starts)[first]
+            data, at = ragged(block.data, starts[first], sizes), np.append(0, np.cumsum(sizes))
+            cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            payloads = [_pack(sizes[a:b].astype("<u4"), data[at[a] : at[b]]) for a, b in cuts]
+            yield _batch(asks, [name] * len(cuts), to, [b - a for a, b in cuts], payloads)
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, block in _named(batches):
+            payload = _pack((block.ends - block.starts).astype("<u4"), block.data)
+            docs_at = pa.ListArray.from_arrays(pa.array([0, block.n], pa.int32()), ids)
+            columns = {"block": pa.array([name], pa.binary()), "shard": pa.array([TEXTS], pa.int32()), "n": pa.array([block.n], pa.int64()), "payload": pa.array([payload], pa.binary()), "doc_ids": docs_at}
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = word_table(shared.value)
+        name, answers = None, {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("block", "shard", "n", "payload")]
+            for i, (row_name, shard, n, payload) in enumerate(zip(*columns, strict=True)):
+                if row_name != name:
+                    name, answers = row_name, {}
+                if shard != TEXTS:
+                    answers[shard] = (n, payload)
+                    continue
+                sizes, data = _unpack(payload, n, "u1")
+                ends = np.cumsum(sizes)
+                ids, at = table.joined(Block(0, data, ends - sizes, ends), answers, key, shards)
+                yield _encoded_rows(table, batch.column("doc_ids")[i].values, ids, at, keep)
+            release_memory()
+
+    words = _answers(rows.mapInArrow(asked, "block binary, shard int, n long, payload binary"), shared, encoded)
+    texts = rows.mapInArrow(carried, f"block binary, shard int, n long, payload binary, doc_ids array<{kind}>")
+    both = words.withColumn("doc_ids", F.lit(None).cast(f"array<{kind}>")).unionByName(texts)
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
-    return docs.select("doc_id", "text").mapInArrow(encoded, schema)
+    return both.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(joined, schema)
+
+
+def _encoded_rows(table: WordTable, doc_ids: pa.Array, ids: np.ndarray, at: np.ndarray, keep: bool) -> pa.RecordBatch:
+    each = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    columns = {"doc_id": doc_ids, "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_sha256": pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string())}
+    if keep:
+        texts = [table.decode(x) for x in each]
+        columns["decoded_sha256"] = pa.array([sha256(x).hexdigest() for x in texts], pa.string())
+        columns["ids"] = pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32()))
+        columns["decoded"] = pa.array([x.decode() for x in texts], pa.string())
+    else:
+        columns["decoded_sha256"] = pa.array([sha256(table.decode(x)).hexdigest() for x in each], pa.string())
+    return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+
+def _by_shard(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of distinct words by shard, where each shard's words begin in it, and the shards."""
+    to = (mix(h) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    found, firsts = np.unique(to[order], return_index=True)
+    return order, np.append(firsts, len(h)), found
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:

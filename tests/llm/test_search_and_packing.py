@@ -36,6 +36,36 @@ def test_bpe_is_the_library(spark, library):
     assert bpe.encode(frame(spark, [])).count() == 0
 
 
+def test_each_distinct_word_is_encoded_once(spark, library):
+    words = [f" w{i}" for i in range(300)]
+    texts = ["".join(words[i % 7 :]) for i in range(200)]
+    encoded = spark.sparkContext.accumulator(0)
+    rows = bpe.encode(frame(spark, texts).repartition(8, "doc_id"), encoded=encoded).collect()
+    assert all(r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids for r in rows) and len(rows) == len(texts)
+    assert encoded.value == len(words)
+
+
+def test_blocks_without_answers_and_equal_hashes(monkeypatch, library):
+    import pyarrow as pa
+
+    from emergent.llm.blocks import Block, blocks_of
+
+    table = bpe.WordTable(bpe.read_vocabulary())
+    real = Block.hashes
+    for hashes in (real, lambda self, starts, ends, lower=False, key=0: real(self, starts, ends, key=key) % np.uint64(3)):
+        monkeypatch.setattr(Block, "hashes", hashes)
+        for block in blocks_of(pa.array(TEXTS), 64):
+            ids, at = table.joined(block, {}, 5, 4)
+            for i in range(block.n):
+                assert ids[at[i] : at[i + 1]].tolist() == library.encode(block.text(i), add_special_tokens=False).ids
+
+
+def test_repeated_rows_and_text_ids(spark, library):
+    docs = spark.createDataFrame([("a", "one two two")] * 50 + [(None, None)] * 3 + [("b", "")], "doc_id string, text string")
+    rows = bpe.encode(docs).collect()
+    assert len(rows) == 54 and sum(r["n_tokens"] for r in rows) == 50 * len(library.encode("one two two").ids)
+
+
 def test_word_table_may_start_anew(monkeypatch, library):
     import pyarrow as pa
 
