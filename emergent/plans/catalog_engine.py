@@ -406,13 +406,14 @@ def flush_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def http_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingest and query through the HTTP server, by a client that attaches it as a remote store."""
+    """Ingest and query through the HTTP server, by a client that attaches it as a remote store and whose tasks send their rows to it."""
     from emergent.sources.remote import RemoteStore
 
-    e = engine(spark)
-    e.raw_serve(port=0, token="key")
+    e, token = engine(spark), uuid.uuid4().hex
+    host = spark.conf.get("spark.driver.host", "127.0.0.1")  # where executors reach this driver
+    e.raw_serve(spark.conf.get("spark.driver.bindAddress", host), port=0, token=token)
     try:
-        remote = RemoteStore(spark, f"http://127.0.0.1:{e.server.port}", "key")
+        remote = RemoteStore(spark, f"http://{host}:{e.server.port}", token)
         remote.ingest("t", documents(table(spark, sf_dir, "events"), F.col("event_id").alias("id"), F.col("event_type").alias("kind")))
         found = remote.sql("SELECT kind, count(*) AS n FROM t GROUP BY kind").collect()
         return spark.createDataFrame([tuple(r) for r in found], "kind string, n long")

@@ -9,17 +9,21 @@ import re
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from socketserver import TCPServer
 from typing import TYPE_CHECKING, Any
 from urllib.parse import parse_qs, unquote, urlsplit
 
 if TYPE_CHECKING:
     from emergent.plans.sqlfront import Engine
+    from emergent.sources.store import Files
 
 # The type names of the API, the longest body, and the parts of an OTLP response.
 TYPE_NAMES = {
     "VARCHAR": "String", "BIGINT": "Int64", "INTEGER": "Int32", "DOUBLE": "Float64", "BOOLEAN": "Bool", "TIMESTAMP": "DateTime", "DATE": "Date", "JSON": "Json", "FLOAT": "Float32", "binary": "Bytes",
 }
 MAX_BODY = 256 << 20
+UPLOAD = re.compile(r"[0-9a-f]{32}")
+UPLOADED = re.compile(r"[0-9]+(-[0-9]+)*")
 REJECTED = {"traces": "rejectedSpans", "logs": "rejectedLogRecords", "metrics": "rejectedDataPoints"}
 ENVELOPES = {"resourceSpans": "otlp-traces", "resourceLogs": "otlp-logs", "resourceMetrics": "otlp-metrics"}
 
@@ -77,6 +81,43 @@ class Api:
             return 202, {"table": name, "queued": True}
         return 200, {"inserted": self.engine.ingest(name, body, transform, explode, skip).rows}
 
+    def upload(self, upload: str, part: str, packed: bytes) -> dict[str, Any]:
+        """Keep one gzipped part of an upload beside the tables, unread; what commits the upload ingests it."""
+        self._files().put(f"{self._folder(upload)}/{self._checked(UPLOADED, part)}.json.gz", packed)
+        return {"part": part}
+
+    def drop_upload(self, upload: str) -> dict[str, Any]:
+        self._files().delete(self._folder(upload))
+        return {"dropped": upload}
+
+    def ingest_upload(self, name: str, upload: str, parts: list[str], payloads: int, options: dict[str, str]) -> dict[str, Any]:
+        """Ingest the named parts of an upload as one, each line a document; other parts are of attempts that failed. The upload ends here."""
+        from pyspark.sql import functions as F
+
+        try:
+            files = [f"{self._folder(upload)}/{self._checked(UPLOADED, p)}.json.gz" for p in parts]
+            lines = self.engine.spark.read.text(files, lineSep="\n").where(F.length(F.trim("value")) > 0)
+            transform, explode = options.get("transform"), options.get("explode")
+            if not transform and not explode:
+                seen = lines.agg(*(F.max(F.col("value").contains(f'"{key}"')).alias(key) for key in ENVELOPES)).first()
+                transform = next((t for key, t in ENVELOPES.items() if seen[key]), None)
+            if payloads > 1:  # as in any request of several lines, an array is one row
+                lines = lines.select(F.when(F.ltrim("value").startswith("["), F.concat(F.lit("["), "value", F.lit("]"))).otherwise(F.col("value")).alias("value"))
+            return {"inserted": self.engine.ingest(name, lines, transform, explode, options.get("ignore_errors") == "true").rows}
+        finally:
+            self.drop_upload(upload)
+
+    def _checked(self, form: re.Pattern, text: str) -> str:
+        if not form.fullmatch(text):
+            raise ApiError(400, f"not the name of an upload or a part: {text}")
+        return text
+
+    def _folder(self, upload: str) -> str:
+        return f"{self.engine.stores[self.engine.current].path}/_uploads/{self._checked(UPLOAD, upload)}"
+
+    def _files(self) -> Files:
+        return self.engine.stores[self.engine.current].files
+
     def drop(self, name: str) -> dict[str, Any]:
         self.engine.resolve(name).drop()
         return {"dropped": name}
@@ -115,11 +156,14 @@ class Server:
                 self.end_headers()
                 self.wfile.write(body)
 
-            def body(self) -> bytes:
+            def body(self, packed: bool = False) -> bytes:
+                """The request's body, or with ``packed`` its gzipped form."""
                 size = int(self.headers.get("Content-Length") or 0)
                 if size > MAX_BODY:
                     raise ApiError(413, "body is too large")
                 raw = self.rfile.read(size)
+                if packed:
+                    return raw if self.headers.get("Content-Encoding") == "gzip" else gzip.compress(raw)
                 return gzip.decompress(raw) if self.headers.get("Content-Encoding") == "gzip" else raw
 
             def route(self) -> None:
@@ -128,7 +172,7 @@ class Server:
                 options = {k: v[0] for k, v in parse_qs(url.query).items()}
                 binary = "protobuf" in self.headers.get("Content-Type", "") and path.startswith("/otlp/")
                 try:
-                    body = self.body()
+                    body = self.body(path.startswith("/v1/uploads/"))
                     if path == "/health":
                         return self.answer(200, b'{"status":"ok"}')
                     if token and not hmac.compare_digest(self.headers.get("Authorization", "").encode(), f"Bearer {token}".encode()):
@@ -157,10 +201,17 @@ class Server:
                 if found := re.fullmatch(r"/v1/tables/([^/]+)", path):
                     if method == "GET":
                         return 200, api.table(found[1])
+                    if method == "POST" and "upload" in options:
+                        told = json.loads(body)
+                        return 200, api.ingest_upload(found[1], options["upload"], told["parts"], told["payloads"], options)
                     if method == "POST":
                         return api.ingest(found[1], body.decode(), options)
                     if method == "DELETE":
                         return 200, api.drop(found[1])
+                if method == "POST" and (found := re.fullmatch(r"/v1/uploads/([^/]+)/([^/]+)", path)):
+                    return 200, api.upload(found[1], found[2], body)
+                if method == "DELETE" and (found := re.fullmatch(r"/v1/uploads/([^/]+)", path)):
+                    return 200, api.drop_upload(found[1])
                 if method == "POST" and (found := re.fullmatch(r"/otlp/v1/(traces|logs|metrics)", path)):
                     signal = found[1]
                     api.otlp(signal, body, binary, self.table_for(signal))
@@ -189,6 +240,10 @@ class Server:
             request_queue_size = 512
             disable_nagle_algorithm = True
 
+            def server_bind(self) -> None:
+                TCPServer.server_bind(self)  # without the look-up of a name for the address
+                self.server_name, self.server_port = self.server_address[:2]
+
         self.http = Listener((host, port), Handler)
         self.port = self.http.server_address[1]
         self.thread = threading.Thread(target=self.http.serve_forever, daemon=True)
