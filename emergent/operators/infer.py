@@ -1,6 +1,6 @@
 """Schema inference over a DataFrame of payload texts.
 
-Each task merges its documents into one tree; batches of plain documents are read by Arrow (``functions.native``). Those of
+Each task merges its documents into one tree; batches of plain documents and of envelopes are read by Arrow (``functions.native``). Those of
 ``ROUND`` tasks merge on an executor, and what reaches the driver is one tree for each such group. Trees merge in task order, which keeps
 first-seen column order the same in every run.
 """
@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from emergent.functions.jsonparse import check_uniform, split
 from emergent.functions.lattice import Column, Node, PayloadError, compact, flatten
-from emergent.functions.native import Reader
+from emergent.functions.native import Reader, join_levels
 from emergent.operators.transforms import apply
 from emergent.session import ship
 
 
 #: Tasks whose trees merge on an executor; row documents that a task holds at most, about, and those that are worth Arrow's reader.
 ROUND, HELD, FEW = 1024, 4096, 16
-_SCHEMA = "part int, root string, bare string, rows long, objects long, errors long, wrong string, plain boolean"
-_PARTIAL = pa.schema([("part", pa.int32()), ("root", pa.string()), ("bare", pa.string()), ("rows", pa.int64()), ("objects", pa.int64()), ("errors", pa.int64()), ("wrong", pa.string()), ("plain", pa.bool_())])
+_SCHEMA = "part int, root string, bare string, rows long, objects long, errors long, wrong string, plain boolean, levels string"
+_PARTIAL = pa.schema([("part", pa.int32()), ("root", pa.string()), ("bare", pa.string()), ("rows", pa.int64()), ("objects", pa.int64()), ("errors", pa.int64()), ("wrong", pa.string()), ("plain", pa.bool_()), ("levels", pa.string())])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +34,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict | None = None
     for batch in batches:
         for row in batch.to_pylist():
-            row |= {k: Node.load(json.loads(row[k])) for k in ("root", "bare")}
+            row |= {k: Node.load(json.loads(row[k])) for k in ("root", "bare")} | {"levels": json.loads(row["levels"])}
             if held is None or held["group"] != row["group"]:
                 if held is not None:
                     yield _partial(held)
@@ -45,12 +45,13 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in ("rows", "objects", "errors"):
                 held[k] += row[k]
             held["wrong"], held["plain"] = held["wrong"] or row["wrong"], held["plain"] and row["plain"]
+            held["levels"] = join_levels(held["levels"], row["levels"])
     if held is not None:
         yield _partial(held)
 
 
 def _partial(row: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([row | {k: json.dumps(row[k].dump()) for k in ("root", "bare")}], schema=_PARTIAL)
+    return pa.RecordBatch.from_pylist([row | {k: json.dumps(row[k].dump()) for k in ("root", "bare")} | {"levels": json.dumps(row["levels"])}], schema=_PARTIAL)
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,7 @@ class Inferred:
     errors: int
     scalar: bool  # rows are bare values in one column named value
     plain: bool = False  # every payload is one object and so its own row document
+    levels: dict | None = None  # what envelopes hold at each step of the path, if Arrow could read them all
 
 
 def rows_of(payloads: DataFrame, path: list[str], otlp: bool, ignore_errors: bool = False) -> DataFrame:
@@ -89,6 +91,7 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
 
         root, bare, rows, objects, errors, wrong, plain = Node(), Node(), 0, 0, 0, None, not path
         reader, made = Reader(), Reader()
+        levels: dict | None = None if otlp or not path else {}
         held: list[Any] = []
 
         def seen(documents: list[Any]) -> int:
@@ -110,12 +113,16 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
 
         for batch in batches:
             texts = batch.column(0).drop_null()
-            tree = None if path else reader.tree(texts)
+            tree, count = None if path else reader.tree(texts), len(texts)
+            if levels is not None and len(texts):
+                found = None if held else reader.exploded(texts, path, root.children)
+                tree, count, own = found or (None, 0, None)
+                levels = join_levels(levels, own)
             if tree is not None:
                 if held:  # what came before is merged before
                     rows, objects, held = rows + len(held), objects + seen(held), []
                 root.merge(tree)
-                rows, objects = rows + len(texts), objects + len(texts)
+                rows, objects = rows + count, objects + count
                 continue
             for text in texts.to_pylist():
                 try:
@@ -130,25 +137,26 @@ def infer(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False
                     rows, objects = rows + len(held), objects + seen(held)
                     held = []
         rows, objects = rows + len(held), objects + seen(held)
-        yield _partial({"part": TaskContext.get().partitionId(), "root": root, "bare": bare, "rows": rows, "objects": objects, "errors": errors, "wrong": wrong, "plain": plain})
+        yield _partial({"part": TaskContext.get().partitionId(), "root": root, "bare": bare, "rows": rows, "objects": objects, "errors": errors, "wrong": wrong, "plain": plain, "levels": levels})
 
     name = payloads.columns[0]
     trees = payloads.select(F.col(f"`{name}`").cast("string")).mapInArrow(merged, _SCHEMA)
     group = F.expr(f"part div {ROUND}").cast("int").alias("group")
     partials = trees.select(group, "*").repartition("group").sortWithinPartitions("group", "part").mapInArrow(_joined, _SCHEMA).collect()
-    root, bare = Node(), Node()
+    root, bare, levels = Node(), Node(), {}
     for p in sorted(partials, key=lambda p: p["part"]):
         if p["wrong"]:
             raise PayloadError(p["wrong"])
         root.merge(Node.load(json.loads(p["root"])))
         bare.merge(Node.load(json.loads(p["bare"])))
+        levels = join_levels(levels, json.loads(p["levels"]))
     rows, objects = sum(p["rows"] for p in partials), sum(p["objects"] for p in partials)
     scalar = check_uniform(objects, rows)
     if scalar:
         columns = [Column("value", (), bare.type(), not bare.seen())] if bare.seen() else []
     else:
         columns = flatten(root)
-    return Inferred(columns, rows, sum(p["errors"] for p in partials), scalar, all(p["plain"] for p in partials))
+    return Inferred(columns, rows, sum(p["errors"] for p in partials), scalar, all(p["plain"] for p in partials), levels or None)
 
 
 def documents_of(payloads: DataFrame, found: Inferred, path: list[str], otlp: bool, ignore_errors: bool = False) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from emergent.functions import lattice
 from emergent.functions.jsonparse import loads
-from emergent.operators.infer import Inferred, documents_of, infer
-from emergent.operators.shred import shred
+from emergent.operators.infer import Inferred, infer
+from emergent.operators.shred import typed
 from emergent.operators.transforms import Registry
 from emergent.session import ship
 from emergent.sources.store import Manifest, StoreError, Table
@@ -85,7 +85,6 @@ def ingest(table: Table, payloads: DataFrame, registry: Registry, transform: str
     """
     path, otlp = registry.resolve(transform, explode)
     found = infer(payloads, path, otlp, ignore_errors)
-    rows = documents_of(payloads, found, path, otlp, ignore_errors)
     with lock_of(table):
         for attempt in range(RETRIES):
             manifest = table.manifest()
@@ -98,7 +97,7 @@ def ingest(table: Table, payloads: DataFrame, registry: Registry, transform: str
                     raise lattice.PayloadError(f"cannot create table {table.name} from an empty payload")
                 return Result(table.name, errors=found.errors)
             after, own, added, widened = evolved(manifest, found)
-            part = table.write_part(shred(rows, own, found.scalar), {c.name: c.type for c in own}, manifest.version + 1)
+            part = table.write_part(typed(payloads, found, own, path, otlp, ignore_errors), {c.name: c.type for c in own}, manifest.version + 1)
             after = replace(after, parts=(*manifest.parts, part), batches={**manifest.batches, batch[0]: batch[1]} if batch else manifest.batches)
             try:
                 table.commit(after)

@@ -1,14 +1,14 @@
 """Shredding: row documents (JSON text) to typed columns.
 
 ``from_json`` with a schema built from the columns' paths does the work inside the JVM; dates and timestamps are extracted as strings and
-parsed by expressions. Only columns that hold JSON text, whose strings must keep their quotes, and names that differ in case alone go
+parsed by expressions. Envelopes that Arrow could read are exploded there too. Only columns that hold JSON text, whose strings must keep their quotes, and names that differ in case alone go
 through Arrow batches in Python, and only with the columns that need it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 import pandas as pd
 from pyspark.sql import Column as SparkColumn
@@ -20,6 +20,9 @@ from emergent.functions import temporal
 from emergent.functions.jsonparse import loads
 from emergent.functions.lattice import Column, compact, spark_type
 
+if TYPE_CHECKING:
+    from emergent.operators.infer import Inferred
+
 
 def _base(kind: str) -> str:
     return kind.rstrip("[]")
@@ -129,11 +132,58 @@ def shred(rows: DataFrame, columns: list[Column], scalar: bool = False) -> DataF
     return parsed.select(*out)
 
 
+def _placed(found: Inferred, columns: list[Column], path: list[str]) -> list[list[Column]] | None:
+    """Columns by the level of the envelope that from_json takes them from, or None where only rows that Python makes show the same."""
+    levels = found.levels
+    if not levels or _slow(columns) or any(_base(c.type) == "VARCHAR" and ".".join(c.path) in levels["numbers"] for c in columns):
+        return None  # numbers in a column of texts are written anew
+    placed: list[list[Column]] = [[] for _ in levels["names"]]
+    for c in columns:
+        at = [i for i, names in enumerate(levels["names"]) if c.path[0] in names]
+        if not at or len(at) > 1 and c.path[0] not in levels["always"][at[-1]]:
+            return None
+        placed[at[-1]].append(c)
+    if not placed[-1] or any(c.path[0].lower() == key.lower() for key, own in zip(path, placed, strict=False) for c in own):
+        return None
+    return placed
+
+
+def _exploded(payloads: DataFrame, placed: list[list[Column]], path: list[str], lists: list[bool], order: list[Column]) -> DataFrame:
+    """Typed rows of envelopes, read and exploded inside the JVM."""
+    kind = _struct(placed[-1])
+    for own, key, many in reversed(list(zip(placed, path, lists, strict=False))):
+        kind = T.StructType([*(_struct(own) if own else []), T.StructField(key, T.ArrayType(kind) if many else kind)])
+    rows, done = payloads.select(F.from_json(F.col(f"`{payloads.columns[0]}`").cast("string"), kind, {"allowNonNumericNumbers": "true"}).alias("_row")), []
+    for i, own in enumerate(placed):
+        taken = []
+        for c in own:
+            value = F.col("_row")
+            for key in c.path:
+                value = value.getItem(key)
+            taken.append(_finished(value, c.type).alias(f"_{order.index(c)}"))
+        rest = [F.col("_row").getItem(path[i]).alias("_row")] if i < len(path) else []
+        rows = rows.select(*done, *taken, *rest)
+        done += [f"_{order.index(c)}" for c in own]
+        if rest:
+            rows = rows.select(*done, F.explode("_row").alias("_row")) if lists[i] else rows
+    return rows.select(*(F.col(f"_{i}").alias(c.name) for i, c in enumerate(order)))
+
+
+def typed(payloads: DataFrame, found: Inferred, columns: list[Column], path: list[str], otlp: bool, ignore_errors: bool = False) -> DataFrame:
+    """Payloads that were inferred as typed rows."""
+    from emergent.operators.infer import documents_of
+
+    placed = _placed(found, columns, path)
+    if placed:
+        return _exploded(payloads, placed, path, found.levels["lists"], columns)
+    return shred(documents_of(payloads, found, path, otlp, ignore_errors), columns, found.scalar)
+
+
 def records(payloads: DataFrame, path: list[str] | None = None, otlp: bool = False, ignore_errors: bool = False) -> DataFrame:
     """Typed rows of a DataFrame of payloads, with the columns that their documents have."""
-    from emergent.operators.infer import documents_of, infer
+    from emergent.operators.infer import infer
 
     found = infer(payloads, path, otlp, ignore_errors)
     if not found.columns:
         return payloads.sparkSession.createDataFrame([], T.StructType([T.StructField("value", T.StringType(), True, {"lattice": "JSON"})]))
-    return shred(documents_of(payloads, found, path or [], otlp, ignore_errors), found.columns, found.scalar)
+    return typed(payloads, found, found.columns, path or [], otlp, ignore_errors)

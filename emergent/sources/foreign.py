@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emergent.functions import lattice
-from emergent.operators.infer import documents_of, infer
+from emergent.operators.infer import infer
 from emergent.operators.ingest import Result
-from emergent.operators.shred import shred
+from emergent.operators.shred import typed
 from emergent.operators.transforms import Registry
 
 
@@ -26,7 +26,7 @@ def ingest_catalog(spark: SparkSession, table: str, payloads: DataFrame, registr
         if not spark.catalog.tableExists(table):
             raise lattice.PayloadError(f"cannot create table {table} from an empty payload")
         return Result(table, errors=found.errors)
-    rows = shred(documents_of(payloads, found, path, otlp, ignore_errors), found.columns, found.scalar)
+    rows = typed(payloads, found, found.columns, path, otlp, ignore_errors)
     if not spark.catalog.tableExists(table):
         rows.write.format("parquet").saveAsTable(table)
         return Result(table, True, len(found.columns), 0, found.rows, found.errors)
