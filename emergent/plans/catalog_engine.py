@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,23 +68,31 @@ def cloud_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(documents(groups, F.lit("eu").alias("region"), F.col("Records")), *Registry().resolve("cloudtrail")).select("id", "name", "region")
 
 
-@query("SELECT event_id AS id, lower(to_hex(event_id + 1048576)) AS tail, 'svc_' || (user_id % 4) AS service FROM events")
-def otlp_protobuf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binary OTLP requests of at most 500 spans, as collectors send them; one request is on the driver at a time."""
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The JSON of each row's binary request, which has a span for each of its ids."""
     from emergent.sources import otlp_pb
 
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            request = otlp_pb.message("ExportTrace")
+            one = request.resource_spans.add()
+            attribute = one.resource.attributes.add()
+            attribute.key, attribute.value.string_value = "service.name", f"svc_{row['g']}"
+            spans = one.scope_spans.add().spans
+            for i in row["ids"]:
+                span = spans.add()
+                span.span_id, span.start_time_unix_nano = (i + 1048576).to_bytes(8, "big"), i + 1  # zero is what protobuf leaves out
+            out.append(json.dumps(otlp_pb.decode("traces", request.SerializeToString())))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+
+@query("SELECT event_id AS id, lower(to_hex(event_id + 1048576)) AS tail, 'svc_' || (user_id % 4) AS service FROM events")
+def otlp_protobuf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary OTLP requests of at most 500 spans, as collectors send them; tasks make, decode and stage them, and none is on the driver."""
     e = engine(spark)
     groups = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("g"), F.expr("event_id div 2000")).agg(F.collect_list("event_id").alias("ids"))
-    for row in groups.toLocalIterator():
-        request = otlp_pb.message("ExportTrace")
-        one = request.resource_spans.add()
-        attribute = one.resource.attributes.add()
-        attribute.key, attribute.value.string_value = "service.name", f"svc_{row['g']}"
-        spans = one.scope_spans.add().spans
-        for i in row["ids"]:
-            span = spans.add()
-            span.span_id, span.start_time_unix_nano = (i + 1048576).to_bytes(8, "big"), i + 1  # zero is what protobuf leaves out
-        e.enqueue("otel", json.dumps(otlp_pb.decode("traces", request.SerializeToString())), "otlp-traces")
+    e.enqueue("otel", groups.select("g", "ids").mapInArrow(_requests, "value string"), "otlp-traces")
     e.buffers.close()
     if e.buffers.errors:
         raise RuntimeError("; ".join(e.buffers.errors))
@@ -389,14 +399,14 @@ def transforms_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 2 AS targets, count(*) AS n FROM events")
 def flush_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raw_flush tells how many tables and rows it ingested; a payload is a thousand lines, one of which is on the driver at a time."""
+    """raw_flush tells how many tables and rows it ingested; a payload is a thousand lines, staged by the task that has it."""
     e = engine(spark)
     e.buffers.max_age, e.buffers.max_size = 3600, 1 << 40
     docs = documents(table(spark, sf_dir, "events"), F.col("event_id").alias("id"))
     key = F.get_json_object("value", "$.id").cast("long")
     bodies = docs.groupBy(F.floor(key / 1000).alias("k")).agg(F.array_join(F.collect_list("value"), "\n").alias("body"))
-    for row in bodies.toLocalIterator():
-        e.enqueue("even" if row["k"] % 2 == 0 else "odd", row["body"])
+    e.enqueue("even", bodies.where("k % 2 = 0").select("body"))
+    e.enqueue("odd", bodies.where("k % 2 <> 0").select("body"))
     e.enqueue("odd", "[]")
     e.enqueue("even", "[]")
     done = e.raw_flush().first()
