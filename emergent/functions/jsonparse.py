@@ -14,7 +14,7 @@ _SPACE = " \t\r\n"
 def loads(text: str) -> Any:
     """One JSON value and nothing behind it. NaN and infinities are numbers; of equal keys the last counts."""
     value, end = _decoder.raw_decode(text, len(text) - len(text.lstrip(_SPACE)))
-    if text[end:].strip(_SPACE):
+    if end < len(text) and text[end:].strip(_SPACE):
         raise ValueError("trailing text")
     return value
 

@@ -205,9 +205,12 @@ def type_name(kind: T.DataType) -> str:
     return next((n for n, k in _SPARK.items() if k == kind and n != "JSON"), kind.simpleString())
 
 
+_encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def compact(value: Any) -> str:
     """Compact JSON text."""
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return _encode(value)
 
 
 def raw_type(text: str | None) -> str | None:

@@ -52,11 +52,15 @@ def otlp_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id AS id, 'x' || event_id AS a, event_id AS b, event_type || '!' AS c FROM events")
 def otlp_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrapped arrays, lists of key and value, and attributes without a value, which are skipped."""
+    """Wrapped arrays, lists of key and value, and attributes without a value, which are skipped.
+
+    Documents are made and read in Python by as many tasks as there are cores, a few each, however few row groups the table's files have.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", "event_type").repartition(3 * spark.sparkContext.defaultParallelism, "event_id")
     inner = F.struct(F.array(F.struct(F.lit("k").alias("key"), F.struct(F.col("event_id").cast("string").alias("intValue")).alias("value"))).alias("values"))
     values = F.struct(F.array(F.struct(F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("stringValue"))).alias("values"))
     attributes = F.concat(F.lit('[{"key":"list","value":{"arrayValue":'), F.to_json(values), F.lit('}},{"key":"map","value":{"kvlistValue":'), F.to_json(inner), F.lit('}},{"key":"none"},{"key":"c","value":{"stringValue":"'), "event_type", F.lit('!"}}]'))
-    docs = table(spark, sf_dir, "events").select(F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"id":'), F.col("event_id").cast("string"), F.lit(',"attributes":'), attributes, F.lit("}]}]}]}")).alias("value"))
+    docs = events.select(F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"id":'), F.col("event_id").cast("string"), F.lit(',"attributes":'), attributes, F.lit("}]}]}]}")).alias("value"))
     rows = records(docs, *Registry().resolve("otlp-traces"))
     return rows.select("id", F.col("list")[0].alias("a"), F.col("`map.k`").alias("b"), "c")
 
